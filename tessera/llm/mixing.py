@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, n_words
+from tessera.llm.common import Scratch, bounded_broadcast, n_words
 
 #: Bits of the hash, and those that a histogram resolves at a time.
 HASH_BITS, BITS = 60, 12
@@ -75,25 +75,46 @@ def hash_thresholds(scratch: Scratch, sizes: DataFrame, budgets: DataFrame) -> D
     return done
 
 
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, budget: float = 1.0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes, plan).  sizes: doc_id, source, size, hash of every document.  plan: one row per source
+    with source_size, target, copies of every document, and the threshold under which one more is taken."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    sizes = scratch.keep(docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "sizes")
+    targets = scratch.keep(source_targets(sizes, weights, max_copies, budget), "targets")
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("copies", copies).withColumn("_budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    cut = hash_thresholds(scratch, sizes, targets.where("_budget > 0").select("source", F.col("_budget").alias("budget")))
+    threshold = F.when(F.col("_budget") > 0, F.coalesce("threshold", F.lit(2**HASH_BITS))).otherwise(F.lit(0)).cast("long")
+    plan = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "copies", threshold.alias("threshold"))
+    return sizes, scratch.keep(plan, "plan")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, budget: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken: whole copies of each document, at most ``max_copies``.
 
     A source below its target repeats all its documents ``floor(target/size)`` times and takes the
     documents below its threshold once more.
     """
-    scratch = Scratch(docs.sparkSession)
-    sizes = scratch.keep(docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "sizes")
-    targets = scratch.keep(source_targets(sizes, weights, max_copies, budget), "targets")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("_copies", copies).withColumn("_budget", F.col("target") - F.col("_copies") * F.col("source_size"))
-    cut = hash_thresholds(scratch, sizes, targets.where("_budget > 0").select("source", F.col("_budget").alias("budget")))
-    per_source = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "_copies", "_budget", "threshold")
-    extra = ((F.col("_budget") > 0) & (F.col("d.hash") < F.coalesce(F.col("threshold"), F.lit(2**HASH_BITS)))).cast("long")
-    return sizes.alias("d").join(per_source.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * (F.col("_copies") + extra)).alias("taken")
+    sizes, plan = plan_mix(docs, weights, max_copies, budget)
+    more = (F.col("d.hash") < F.col("p.threshold")).cast("long")
+    return sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
+        "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * (F.col("p.copies") + more)).alias("taken")
     )
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, budget: float = 1.0) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; a document without words, which
+    has no share in the sizes, stays once.  The plan has a row per source and is broadcast if it is
+    small, so the texts do not move."""
+    _, plan = plan_mix(docs, weights, max_copies, budget)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("d"), n_words(F.col("text")).alias("n"), doc_hash(F.col("doc_id")).alias("h"))
+    d = d.join(bounded_broadcast(plan.withColumnRenamed("source", "s")), F.col("d.source").eqNullSafe(F.col("s")))
+    times = F.when(F.col("n") == 0, F.lit(1)).otherwise((F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")).cast("int"))
+    d = d.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return d.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
