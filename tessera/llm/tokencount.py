@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,12 @@ class Unigram:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_state(path: str) -> tuple[Unigram, dict[bytes, int]]:
+    """A worker's vocabulary and remembered counts, kept from task to task."""
+    return Unigram.load(path), {}
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens."""
     import pyarrow as pa
@@ -88,7 +95,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def run(batches: Iterator) -> Iterator:
-        model, known = Unigram.load(path), {}
+        model, known = worker_state(path)
         for b in batches:
             texts = [t.split() for t in utf8(b.column(1))]
             new = set().union(*texts).difference(known)
