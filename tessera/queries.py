@@ -254,11 +254,11 @@ def _split(spark, sf, dims=64):
 
 
 @query(f"""WITH {_SPLIT}, b AS (SELECT te.row_id, te.label, min(({D2.format(a="te.x", b="tr.x")}, tr.row_id, tr.label)) AS m FROM te, tr GROUP BY 1, 2)
-SELECT row_id, label, m[2] AS proto_id, m[3] AS predicted, round(m[1], 6) AS d2 FROM b""")
+SELECT row_id, label, m[2] AS proto_id, m[3] AS predicted, m[1] AS d2 FROM b""")
 def nn1_label(spark, sf):
     test, train = _split(spark, sf)
     near = N.nearest(test.select("row_id", "x"), train, ["proto_label"]).join(test.select("row_id", "label"), "row_id")
-    return rounded(near.select("row_id", "label", "proto_id", F.col("proto_label").alias("predicted"), "d2"), "d2")
+    return near.select("row_id", "label", "proto_id", F.col("proto_label").alias("predicted"), "d2")
 
 
 @query(f"""WITH {_SPLIT}, b AS (SELECT te.row_id, te.label, arg_min(tr.label, ({D2.format(a="te.x", b="tr.x")}, tr.row_id)) AS predicted FROM te, tr GROUP BY 1, 2)
@@ -275,10 +275,10 @@ def nn1_accuracy(spark, sf):
 
 
 @query(f"""WITH {_SPLIT}, r AS (SELECT te.row_id, tr.row_id AS proto_id, {D2.format(a="te.x", b="tr.x")} AS d2, row_number() OVER (PARTITION BY te.row_id ORDER BY {D2.format(a="te.x", b="tr.x")}, tr.row_id) AS rank FROM te, tr)
-SELECT row_id, rank::INTEGER AS rank, proto_id, round(d2, 6) AS d2 FROM r WHERE rank <= 2""")
+SELECT row_id, rank::INTEGER AS rank, proto_id, d2 FROM r WHERE rank <= 2""")
 def nn2_rows(spark, sf):
     test, train = _split(spark, sf)
-    return rounded(N.k_nearest(test.select("row_id", "x"), train, 2), "d2")
+    return N.k_nearest(test.select("row_id", "x"), train, 2)
 
 
 _KNN = P4 + ", near AS (SELECT a.row_id AS a, b.row_id AS b, row_number() OVER (PARTITION BY a.row_id ORDER BY " + D2.format(a="a.x", b="b.x") + ", b.row_id) AS rn FROM p a, p b WHERE a.row_id <> b.row_id)"
@@ -289,9 +289,9 @@ def knn_graph(spark, sf):
     return N.knn_graph(points(spark, sf, 4).select("row_id", "x"), 3)
 
 
-@query(f"""WITH {P4} SELECT i, j, d2 FROM (SELECT a.row_id AS i, b.row_id AS j, round({D2.format(a="a.x", b="b.x")}, 6) AS d2, row_number() OVER (ORDER BY {D2.format(a="a.x", b="b.x")} DESC, a.row_id, b.row_id) AS rn FROM p a, p b WHERE a.row_id < b.row_id) WHERE rn = 1""")
+@query(f"""WITH {P4} SELECT i, j, d2 FROM (SELECT a.row_id AS i, b.row_id AS j, {D2.format(a="a.x", b="b.x")} AS d2, row_number() OVER (ORDER BY {D2.format(a="a.x", b="b.x")} DESC, a.row_id, b.row_id) AS rn FROM p a, p b WHERE a.row_id < b.row_id) WHERE rn = 1""")
 def diameter_pair(spark, sf):
-    return rounded(N.farthest_pair(points(spark, sf, 4)), "d2")
+    return N.farthest_pair(points(spark, sf, 4))
 
 
 @query(f"""WITH {P4} SELECT a.row_id, round(sum(list_distance(a.x, b.x)) / (count(*) - 1), 6) AS ecc FROM p a, p b GROUP BY 1""")
@@ -358,21 +358,21 @@ def _objects(spark, sf):
 KEYS = ["row_id", "label"]
 
 
-@query(f"{SKEL} SELECT row_id, cls, id AS eid, round(d, 6) AS d, round(t, 6) + 0.0 AS t FROM dist WHERE kind = 1")
+@query(f"{SKEL} SELECT row_id, cls, id AS eid, d, round(t, 6) + 0.0 AS t FROM dist WHERE kind = 1")
 def segment_distance(spark, sf):
     d = _objects(spark, sf).where("kind = 1").select("row_id", "cls", F.col("id").alias("eid"), "d", "t")
-    return rounded(d, "d", "t")
+    return rounded(d, "t")
 
 
-@query(f"{SKEL}, m AS (SELECT row_id, cls, min((d, kind, id)) AS m FROM dist GROUP BY 1, 2) SELECT row_id, cls, m[2] AS kind, m[3] AS id, round(m[1], 6) AS d FROM m")
+@query(f"{SKEL}, m AS (SELECT row_id, cls, min((d, kind, id)) AS m FROM dist GROUP BY 1, 2) SELECT row_id, cls, m[2] AS kind, m[3] AS id, m[1] AS d FROM m")
 def nearest_object(spark, sf):
-    return rounded(G.nearest_object(_objects(spark, sf), ["row_id", "cls"]).drop("t"), "d")
+    return G.nearest_object(_objects(spark, sf), ["row_id", "cls"]).drop("t")
 
 
 @query(f"""{SKEL}, s AS (SELECT row_id, label, list_sort(list((d, cls))) AS l FROM cd GROUP BY 1, 2)
-SELECT row_id, label, l[1][2] AS predicted, round(l[1][1], 6) AS d1, round(l[2][1], 6) AS d2, round(CASE WHEN l[1][1] + l[2][1] > 0 THEN (l[1][1] - l[2][1]) / (l[1][1] + l[2][1]) ELSE 0.0 END, 6) + 0.0 AS margin FROM s""")
+SELECT row_id, label, l[1][2] AS predicted, l[1][1] AS d1, l[2][1] AS d2, round(CASE WHEN l[1][1] + l[2][1] > 0 THEN (l[1][1] - l[2][1]) / (l[1][1] + l[2][1]) ELSE 0.0 END, 6) + 0.0 AS margin FROM s""")
 def skeleton_predict(spark, sf):
-    return rounded(G.predict(G.class_distances(_objects(spark, sf), KEYS), KEYS), "d1", "d2", "margin")
+    return rounded(G.predict(G.class_distances(_objects(spark, sf), KEYS), KEYS), "margin")
 
 
 @query(f"{SKEL}, b AS (SELECT row_id, label, arg_min(cls, (d, cls)) AS predicted FROM cd GROUP BY 1, 2) SELECT round(avg((label <> predicted)::INTEGER::DOUBLE), 6) AS risk, count(*)::BIGINT AS n FROM b")
@@ -381,23 +381,23 @@ def skeleton_risk(spark, sf):
     return rounded(d.agg(F.avg((F.col("label") != F.col("predicted")).cast("double")).alias("risk"), F.count(F.lit(1)).alias("n")), "risk")
 
 
-@query(f"{SKEL}, m AS (SELECT row_id, label, min((d, cls)) AS m FROM cd WHERE cls <> label GROUP BY 1, 2) SELECT row_id, label, round(m[1], 6) AS other_min, m[2] AS other_arg FROM m")
+@query(f"{SKEL}, m AS (SELECT row_id, label, min((d, cls)) AS m FROM cd WHERE cls <> label GROUP BY 1, 2) SELECT row_id, label, m[1] AS other_min, m[2] AS other_arg FROM m")
 def other_class_extrema(spark, sf):
-    return rounded(G.other_extrema(G.class_distances(_objects(spark, sf), KEYS), KEYS, "label"), "other_min")
+    return G.other_extrema(G.class_distances(_objects(spark, sf), KEYS), KEYS, "label")
 
 
-@query(f"{SKEL}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, kind, id, cls) AS rank FROM dist WHERE cls = label) SELECT row_id, label, kind, id, round(d, 6) AS d, rank::INTEGER AS rank FROM r WHERE rank <= 4")
+@query(f"{SKEL}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, kind, id, cls) AS rank FROM dist WHERE cls = label) SELECT row_id, label, kind, id, d, rank::INTEGER AS rank FROM r WHERE rank <= 4")
 def topk_objects(spark, sf):
-    return rounded(G.top_objects(_objects(spark, sf).where("cls = label"), ["row_id"]).select("row_id", "label", "kind", "id", "d", "rank"), "d")
+    return G.top_objects(_objects(spark, sf).where("cls = label"), ["row_id"]).select("row_id", "label", "kind", "id", "d", "rank")
 
 
-@query(f"WITH {FROZEN[:-2]}, m AS (SELECT v.label, v.vid, min(({D2.format(a='p.x', b='v.v')}, p.row_id)) AS m FROM vert v JOIN p ON p.label = v.label GROUP BY 1, 2) SELECT label, vid, m[2] AS exemplar, round(m[1], 6) AS d2 FROM m")
+@query(f"WITH {FROZEN[:-2]}, m AS (SELECT v.label, v.vid, min(({D2.format(a='p.x', b='v.v')}, p.row_id)) AS m FROM vert v JOIN p ON p.label = v.label GROUP BY 1, 2) SELECT label, vid, m[2] AS exemplar, m[1] AS d2 FROM m")
 def exemplars(spark, sf):
     from tessera.functions.vectors import sq_dist
 
     p, v, _ = frozen(spark, sf)
     d = p.join(N.small(v), "label").groupBy("label", "vid").agg(F.min(F.struct(F.round(sq_dist(F.col("x"), F.col("v")), 9).alias("d2"), F.col("row_id").alias("exemplar"))).alias("m"))
-    return rounded(d.select("label", "vid", "m.exemplar", "m.d2"), "d2")
+    return d.select("label", "vid", "m.exemplar", "m.d2")
 
 
 @query(f"""{SKEL}, own AS (SELECT row_id, label, min((d, kind, id)) AS m FROM dist WHERE cls = label GROUP BY 1, 2), ot AS (SELECT row_id, label, min((d, cls)) AS o FROM cd WHERE cls <> label GROUP BY 1, 2),
@@ -630,14 +630,24 @@ def pc1_lens(spark, sf):
 
 # --- statistics -------------------------------------------------------------------------------
 
-SCORES = "s AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS block, l_returnflag || l_linestatus || (l_linenumber % 2) AS treatment, round(avg(l_extendedprice), 4) AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), k AS (SELECT count(DISTINCT treatment) AS k FROM s), b AS (SELECT block FROM s GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), c AS (SELECT s.* FROM s JOIN b ON s.block = b.block)"
+SCORES = "s AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS block, l_returnflag || l_linestatus || (l_linenumber % 2) AS treatment, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 100)::DOUBLE AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), k AS (SELECT count(DISTINCT treatment) AS k FROM s), b AS (SELECT block FROM s GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), c AS (SELECT s.* FROM s JOIN b ON s.block = b.block)"
 
 
-def scores(spark, sf) -> DataFrame:
-    """Score table (block, treatment, score) of complete blocks: months by flag and parity."""
+def mean_price():
+    """The mean price from whole cents, the same double in any order of summation."""
+    return F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / (F.count(F.lit(1)) * 100).cast("double")
+
+
+def all_scores(spark, sf) -> DataFrame:
+    """Score table (block, treatment, score): months by flag and parity."""
     block = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("block")
     t = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("treatment")
-    s = read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(block, t).agg(F.round(F.avg("l_extendedprice"), 4).alias("score"))
+    return read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(block, t).agg(mean_price().alias("score"))
+
+
+def scores(spark, sf) -> DataFrame:
+    """The complete blocks."""
+    s = all_scores(spark, sf)
     k = s.agg(F.count_distinct("treatment").alias("k"))
     full = s.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(k), F.col("n") == F.col("k")).select("block")
     return s.join(full, "block")
@@ -706,19 +716,15 @@ def holm_adjust(spark, sf):
     return rounded(T.holm(p, "p", ["id"]), "p_holm")
 
 
-@query(f"WITH {SCORES} SELECT block::INTEGER AS block, round(avg(score) FILTER (WHERE treatment = 'AF0'), 6) AS AF0, round(avg(score) FILTER (WHERE treatment = 'NO1'), 6) AS NO1, round(avg(score) FILTER (WHERE treatment = 'RF1'), 6) AS RF1 FROM s GROUP BY 1")
+@query(f"WITH {SCORES} SELECT block::INTEGER AS block, avg(score) FILTER (WHERE treatment = 'AF0') AS AF0, avg(score) FILTER (WHERE treatment = 'NO1') AS NO1, avg(score) FILTER (WHERE treatment = 'RF1') AS RF1 FROM s GROUP BY 1")
 def descriptive_pivot(spark, sf):
-    block = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("block")
-    t = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("treatment")
-    s = read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(block, t).agg(F.round(F.avg("l_extendedprice"), 4).alias("score"))
-    return rounded(T.pivoted(s, ["AF0", "NO1", "RF1"]), "AF0", "NO1", "RF1")
+    s = all_scores(spark, sf)
+    return T.pivoted(s, ["AF0", "NO1", "RF1"])
 
 
 @query(f"WITH {SCORES} SELECT b.block::INTEGER AS block, t.treatment FROM (SELECT DISTINCT block FROM s) b CROSS JOIN (SELECT DISTINCT treatment FROM s) t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.block = b.block AND s.treatment = t.treatment)")
 def missing_blocks(spark, sf):
-    block = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("block")
-    t = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("treatment")
-    s = read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(block, t).agg(F.round(F.avg("l_extendedprice"), 4).alias("score"))
+    s = all_scores(spark, sf)
     return T.missing_cells(s).select("block", "treatment")
 
 
