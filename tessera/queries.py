@@ -848,3 +848,61 @@ def fiedler_lens(spark, sf):
         return pd.DataFrame({"row_id": pdf["row_id"], "label": pdf["label"], "f": np.round(f, 6)})
 
     return points(spark, sf, 4).groupBy("label").applyInPandas(run, "row_id long, label int, f double")
+
+
+@query()
+def classifier_scores(spark, sf):
+    """Accuracy of each classifier trained on sampled prototypes of the two separable classes."""
+    from tessera.operators import classify
+
+    d = _campaign_rows(spark, sf).select("row_id", "label", "x", "fold")
+    proto = d.where("fold > 0").select(F.col("row_id").alias("proto_id"), "label", F.col("x").alias("v"))
+    test = d.where("fold = 0").drop("fold")
+    out = None
+    for kind in ("1nn", "svm", "mlp"):
+        a = classify.accuracy(classify.classify(proto, test, kind)).withColumn("classifier", F.lit(kind))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query()
+def timing_study(spark, sf):
+    from tessera.plans.battery import timing_means
+
+    return timing_means(K.run_campaign(_campaign_rows(spark, sf), 5, folds=[0, 1]))
+
+
+@query()
+def phase_trace(spark, sf):
+    """Vertices, edges and Betti numbers of each class after every phase of one fit."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators import skeleton as Sk
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, trace = pdf.sort_values("row_id"), []
+        Sk.SkeletonFit().fit(np.array(pdf["x"].tolist(), dtype=float), pdf["label"].to_numpy(), 40, SEED, trace)
+        rows = [(i, phase, c, len(v), len(e), *Sk.betti(len(v), e)) for i, (phase, graphs) in enumerate(trace) for c, (v, e) in enumerate(graphs)]
+        return pd.DataFrame(rows, columns=["step", "phase", "cls", "n_vertices", "n_edges", "beta0", "beta1"])
+
+    return _campaign_rows(spark, sf).groupBy("dataset").applyInPandas(run, "step int, phase string, cls int, n_vertices int, n_edges int, beta0 int, beta1 int")
+
+
+@query()
+def nerve_membership(spark, sf):
+    """Rows of each cluster of a class's nerve, of a ring and a blob."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators.skeleton import build_nerve
+    from tessera.sources.synthetic import ring_and_blob
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        _, _, members = build_nerve(np.array(pdf["x"].tolist(), dtype=float), 600)
+        ids = pdf["row_id"].to_numpy()
+        rows = [(int(pdf["label"].iat[0]), k, s, int(i)) for k, (s, own) in enumerate(members) for i in ids[own]]
+        return pd.DataFrame(rows, columns=["label", "cluster", "slab", "row_id"])
+
+    return ring_and_blob(spark).groupBy("label").applyInPandas(run, "label int, cluster int, slab int, row_id long")

@@ -168,3 +168,22 @@ class KeelSource:
                 return Reader(self.options["path"])
 
         spark.dataSource.register(Source)
+
+
+def read_zip_lines(spark: SparkSession, path: str, suffix: str = ".dat") -> DataFrame:
+    """(archive, member, line_no, value) of the text members of zip archives, one archive a task."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def lines(batches):
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for m in sorted(x for x in z.namelist() if x.endswith(suffix)):
+                        text = z.read(m).decode("utf-8").splitlines()
+                        yield pd.DataFrame({"archive": name, "member": m, "line_no": range(len(text)), "value": text})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(lines, "archive string, member string, line_no long, value string")

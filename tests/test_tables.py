@@ -185,3 +185,35 @@ def test_windowed_counts_over_a_stream(spark, sf, tmp_path):
     q = score.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_battery_on_published_scores(spark, golden):
+    from tessera.plans import battery
+
+    rows = golden.select(F.concat(F.lit("d"), "block").alias("dataset"), F.lit(0).alias("fold"), F.when(F.col("treatment") == "S", "Skeleton+Graph").otherwise(F.col("treatment")).alias("method"), F.col("score").alias("acc_1nn"))
+    one = rows.where("method = 'Skeleton+Graph'").withColumns({"method": F.lit("Skeleton+1NN"), "acc_1nn": F.col("acc_1nn") - 0.001 * (F.hash("dataset") % 3)})
+    out = battery.battery(rows.unionByName(one), "Skeleton+Graph")
+    assert out["ranks"].count() == 8 and out["comparison"].count() == 7 and out["scores"].count() == 17
+    ab = battery.ablation(rows.unionByName(one)).first()
+    assert ab.wins + ab.losses + ab.ties == 17
+    with pytest.raises(ValueError):
+        battery.ablation(rows.unionByName(rows.where("method = 'Skeleton+Graph'").withColumn("method", F.lit("Skeleton+1NN"))))
+
+
+def test_zip_members(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.dat", BANANA + "1.0,2.0,1.0\n")
+        z.writestr("readme.txt", "no")
+    got = keel.read_zip_lines(spark, str(tmp_path / "a.zip")).orderBy("line_no").collect()
+    assert {r.member for r in got} == {"x.dat"} and got[-1].value == "1.0,2.0,1.0"
+
+
+def test_command_line(spark, tmp_path):
+    from tessera.__main__ import main
+    from tessera.sources.synthetic import moons
+
+    moons(spark, 120).withColumn("dataset", F.lit("moons")).write.parquet(str(tmp_path / "in"))
+    main(["campaign", str(tmp_path / "in"), str(tmp_path / "out"), "--folds", "4", "--only-folds", "0", "--methods", "RSP3", "Random", "Full"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
