@@ -5,16 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 
-def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences, a block of rows at a time."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        d = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances by differences, a dimension at a time: exact zeros and symmetry,
+    and no array of three dimensions."""
+    out = np.zeros((len(a), len(b)))
+    diff = np.empty_like(out)
+    for k in range(a.shape[1]):
+        np.subtract(a[:, k, None], b[None, :, k], out=diff)
+        np.multiply(diff, diff, out=diff)
+        out += diff
     return out
 
 
+def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(squared(a, b))
+
+
 def _spanning_tree(w: np.ndarray) -> np.ndarray:
     """Rows (weight, a, b) of a minimum spanning tree of a dense graph (Prim), by weight."""
     n = len(w)
