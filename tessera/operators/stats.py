@@ -141,3 +141,19 @@ def power_law(df: DataFrame, key: str, n: str, cost: str) -> DataFrame:
     """Slope and intercept of log10 cost on log10 n per key."""
     x, y = F.log10(n), F.log10(cost)
     return df.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def affine_fit(df: DataFrame, target: str, features: list[str]) -> tuple[list[float], float, float]:
+    """(coefficients, intercept, largest residual) of the least-squares fit; the normal equations
+    come from one aggregate, the residual from a second."""
+    import numpy as np
+
+    cols = [*features, "_one"]
+    d = df.withColumn("_one", F.lit(1.0))
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate([*cols, target])]
+    r = d.agg(*sums).first()
+    k = len(cols)
+    a = np.array([[r[f"{i}_{j}"] for j in range(k)] for i in range(k)])
+    c = np.linalg.lstsq(a, np.array([r[f"{i}_{k}"] for i in range(k)]), rcond=None)[0]
+    fit = sum((F.col(n) * float(v) for n, v in zip(features, c[:-1], strict=True)), F.lit(float(c[-1])))
+    return c[:-1].tolist(), float(c[-1]), float(df.agg(F.max(F.abs(F.col(target) - fit))).first()[0])

@@ -906,3 +906,55 @@ def nerve_membership(spark, sf):
         return pd.DataFrame(rows, columns=["label", "cluster", "slab", "row_id"])
 
     return ring_and_blob(spark).groupBy("label").applyInPandas(run, "label int, cluster int, slab int, row_id long")
+
+
+@query(f"WITH {_RANDOM} SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE p.x = s.x AND p.label = s.label)::BIGINT AS n_equal FROM s JOIN p ON s.row_id = p.row_id")
+def gather_rows(spark, sf):
+    """Selected prototypes equal the rows they name."""
+    s = _sample(spark, sf).select("row_id", F.col("label").alias("l"), F.col("x").alias("v"))
+    same = (F.col("x") == F.col("v")) & (F.col("label") == F.col("l"))
+    return s.join(points(spark, sf), "row_id").agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("long")).alias("n_equal"))
+
+
+@query(f"""WITH {P4}, t AS (SELECT x[2] AS v FROM p ORDER BY round(abs(x[2]), 9) DESC, row_id LIMIT 1) SELECT row_id, round(x[2] * CASE WHEN t.v < 0 THEN -1 ELSE 1 END, 6) + 0.0 AS f FROM p, t""")
+def sign_fixed(spark, sf):
+    d = points(spark, sf, 4).select("row_id", F.col("x")[1].alias("f"))
+    return rounded(C.fix_sign(d, "f"), "f")
+
+
+@query("""SELECT label, json_object('imbalanced', n > 2000, 'label', label, 'n', n)::VARCHAR AS provenance FROM (SELECT l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY 1)""")
+def provenance_json(spark, sf):
+    n = items(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("label", F.to_json(F.struct((F.col("n") > 2000).alias("imbalanced"), "label", "n")).alias("provenance"))
+
+
+@query("""SELECT p_type AS dataset, p_brand AS method, count(*)::BIGINT AS n FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#55') GROUP BY 1, 2""")
+def ranked_methods(spark, sf):
+    d = read(spark, sf, "part").select(F.col("p_type").alias("dataset"), F.col("p_brand").alias("method"))
+    return d.where(~F.col("method").isin("Brand#11", "Brand#55")).groupBy("dataset", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def affine_recovery(spark, sf):
+    """The first lens of the vectors as an affine function of their entries: coefficients and the largest residual."""
+    d = C.pc1_lens(points(spark, sf, 4), 4).select("f", *[F.col("x")[i].alias(f"x{i}") for i in range(4)])
+    c, b, worst = T.affine_fit(d, "f", [f"x{i}" for i in range(4)])
+    return spark.createDataFrame([(*[round(x, 6) + 0.0 for x in c], round(b, 6) + 0.0, worst < 1e-8)], "c0 double, c1 double, c2 double, c3 double, intercept double, exact boolean")
+
+
+@query()
+def lvq3_tune(spark, sf):
+    """The grid's winner by inner folds on each outer fold's training rows."""
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    d = _campaign_rows(spark, sf).withColumn("_f", F.explode(F.array(F.lit(0), F.lit(1)))).where("fold <> _f")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        best = K.tune("LVQ3", np.array(pdf["x"].tolist(), dtype=float), pdf["label"].to_numpy(), SEED, 0.1)
+        return pd.DataFrame({"fold": [pdf["_f"].iat[0]], "n_train": [len(pdf)], "params": [json.dumps(best, sort_keys=True)]})
+
+    return d.groupBy("_f").applyInPandas(run, "fold int, n_train long, params string")
