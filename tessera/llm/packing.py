@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -83,6 +84,12 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, _CHUNK.findall(text))), dtype="<u2")
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """A worker's encoder with what it remembers, kept from task to task."""
+    return Encoder(path)
+
+
 class Index:
     """BM25 over a shard's documents.  Words in half of the documents or more score nothing."""
 
@@ -187,7 +194,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator) -> Iterator:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u2")
         base, who, ids, texts, size = part << 40, [], [], [], 0
 
