@@ -26,10 +26,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, crc_mod, utf8
+from tessera.llm.common import Scratch, crc_mod, shuffle_partitions, utf8
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES, LEAST_BLOCK = 12_000_000, 200_000
 #: Training documents whose counts are held out while the weights are learned: one in so many.
 FOLD = 10
 ROUNDS = 40
@@ -226,7 +226,8 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
     scratch = Scratch(docs.sparkSession)
     held = crc_mod(F.col("doc_id"), 7) == 2 if is_held_out is None else is_held_out
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    # A small corpus is dealt to smaller blocks, so that its work is not left to a few tasks.
+    blocks = max(1, -(-size // block_bytes), min(shuffle_partitions(docs.sparkSession), size // LEAST_BLOCK))
     folds = max(1, blocks // FOLD)
     role = F.when(held, 2).when(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLD)) == 0, 1).otherwise(0)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), role.alias("role"))
