@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup, mixing, packing, simhash, toxicity
+from tessera.llm import linededup, mixing, packing, setjoin, toxicity
 from tessera.llm.common import Scratch, table
 
 
@@ -27,16 +27,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the smallest doc_id (null last)."""
+    """One document of each group linked by a 5-word Jaccard likeness of 0.8: the smallest doc_id (null last)."""
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     if rows != ids:  # ids that are null or repeat cannot name a row: number the rows
         docs = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        by_row = simhash.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+        by_row = setjoin.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
         named = by_row.join(docs.select("_row", F.col("doc_id").alias("_id")), "_row")
         first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
         keep = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
         return docs.join(keep, "_row", "left_semi").drop("_row")
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+    keep = setjoin.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
     return docs.join(keep, docs.doc_id == F.col("_keep"), "left_semi")
 
 
@@ -52,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("near duplicates", drop_near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: Toxicity, fingerprints and packing are not SQL; tests/llm holds the stages to brute force.
+#: Toxicity, near-duplicates and packing are not SQL; tests/llm holds the stages to brute force.
 ORACLE_SQL = None
 
 
