@@ -35,7 +35,7 @@ THRESHOLD = 0.7
 PREFIXES = range(3, 9)
 #: Words that a worker remembers the features of.
 CACHE = 200_000
-#: Characters beyond which a token is no word and stays as it is.
+#: Characters beyond which a token with separators may hold several words; plain words that long are not counted.
 LONGEST = 40
 
 #: Letters that digits and symbols commonly stand for.
@@ -45,6 +45,8 @@ COST = {"leet": 1.0, "drop": 1.0, "repeat": 1.0, "break": 1.0}
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = re.compile(r"[^\W\d_][0-9@$!|+€(£]|[0-9@$!|+€(£][^\W\d_]|(\w)\1\1|[^\W\d_][.\-_*~^'`,/\\#%&]+[^\W\d_]")
+_BROKEN = re.compile(r"[^\W_][.\-_*~^'`,/\\#%&]+[^\W_]")
+_SEPARATED = re.compile(r"(?:[^\W_]|[@$!|+€(£])(?:[.\-_*~^'`,/\\#%&]+(?:[^\W_]|[@$!|+€(£]))+")
 
 
 class CharModel:
@@ -89,13 +91,25 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _greater(a: tuple, b: tuple) -> bool:
+    """Whether the text that ends in node ``a`` is the greater one; the nodes are of one step."""
+    x, y = [], []
+    while a is not b:
+        x.append(a[1])
+        y.append(b[1])
+        a, b = a[0], b[0]
+    return "".join(reversed(x)) > "".join(reversed(y))
+
+
 def decode(token: str, model: CharModel, spaced: bool = False) -> str:
     """The likeliest word, or words where ``spaced``, behind a token: Viterbi over its lattice with
-    the last two characters as state."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    the last two characters as state.  A state's text is a chain of nodes (node before, piece), so
+    the time is linear in the token."""
+    root: tuple = ()
+    states: dict[str, tuple[float, tuple]] = {"^^": (0.0, root)}
     for arcs in lattice(token, spaced):
-        new: dict[str, tuple[float, str]] = {}
-        for ctx, (score, text) in states.items():
+        new: dict[str, tuple[float, tuple]] = {}
+        for ctx, (score, node) in states.items():
             for emit, cost in arcs:
                 s, c2 = score - cost, ctx
                 for c in emit:
@@ -106,24 +120,41 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
                             s, c2 = s + model.logp(c2, "$"), "^^"
                     else:
                         s, c2 = s + model.logp(c2, c), c2[1] + c
-                if s > -math.inf and (c2 not in new or (s, text + emit) > new[c2]):
-                    new[c2] = (s, text + emit)
+                if s == -math.inf:
+                    continue
+                old = new.get(c2)
+                if old is None or s > old[0] or (s == old[0] and _greater((node, emit), old[1])):
+                    new[c2] = (s, (node, emit))
         states = new
-    return max((score + model.logp(ctx, "$"), text) for ctx, (score, text) in states.items())[1]
+    best, end = -math.inf, root
+    for ctx, (score, node) in states.items():
+        s = score + model.logp(ctx, "$")
+        if s > best or (s == best and _greater(node, end)):
+            best, end = s, node
+    out = []
+    while end:
+        out.append(end[1])
+        end = end[0]
+    return "".join(reversed(out))
+
+
+def decode_token(token: str, model: CharModel) -> str:
+    """A token whose letters are separated one by one, or a long one with separators, may hold several words."""
+    spaced = _SEPARATED.fullmatch(token) or (len(token) > LONGEST and _BROKEN.search(token))
+    return decode(token, model, spaced=bool(spaced))
 
 
 def restore(word: str, model: CharModel) -> str:
     """A word without edge punctuation, decoded if it bears a sign of disguise."""
     bare = _EDGE.sub("", word)
-    inner = word.strip(".,;:?\"'()[]{}<>*%&#$|!") or bare
-    if not bare or len(inner) > LONGEST:
+    if not bare:
         return bare
     if "$" in word or "!" in word or "@" in word or "|" in word or "(" in word:
         # A symbol at an edge may be a letter; the plain reading is kept unless the whole decodes to more letters.
         whole = word.strip(".,;:?\"'[]{}<>*%&#")
-        if _SIGNS.search(whole) and len(whole) <= LONGEST and not re.search(r"[$!|]{2}$", whole):
-            return decode(whole, model)
-    return decode(bare, model) if _SIGNS.search(bare) else bare
+        if _SIGNS.search(whole) and not re.search(r"[$!|]{2}$", whole):
+            return decode_token(whole, model)
+    return decode_token(bare, model) if _SIGNS.search(bare) else bare
 
 
 #: Word lengths in bytes to 1 where the word can be one letter.
@@ -146,8 +177,7 @@ def spaced_words(words: list[bytes], model: CharModel) -> list[str]:
                 run.append(t)
                 continue
             if len(run) >= 4 and sum(map(str.isalpha, run)) * 2 > len(run):
-                for i in range(0, len(run), LONGEST):
-                    out += decode("".join(run[i : i + LONGEST]), model, spaced=True).split()
+                out += decode("".join(run), model, spaced=True).split()
             run = []
     return out
 
@@ -167,7 +197,7 @@ class Features(dict):
         if len(self) > CACHE:
             self.clear()
         bare = restore(word.decode("utf-8", "replace").lower(), self.model)
-        got = self[word] = self.of(bare) if bare else ()
+        got = self[word] = tuple(x for w in bare.split() for x in self.of(w))
         return got
 
     def document(self, text: bytes) -> set:

@@ -134,6 +134,27 @@ def test_toxicity_restores():
     assert toxicity.spaced_words(b"so i d i o t is".split(), m) == ["idiot"]
 
 
+def char_model(words):
+    grams = Counter()
+    for w in words:
+        s = f"^^{w}$"
+        grams.update(map("".join, zip(s, s[1:], s[2:])))  # noqa: B905
+    return toxicity.CharModel(grams)
+
+
+def test_toxicity_restores_at_any_length():
+    m = char_model(["clown", "stupid", "you", "are", "the", "hello"])
+    assert toxicity.restore("stu" + "u" * 60 + "pid", m) == "stupid"
+    said = "you are the stupid clown you are the stupid clown".split()
+    assert toxicity.restore(".".join("".join(said)), m).split() == said
+    for before in range(30, 48, 3):  # a word across each place of the run
+        run = " ".join(("the" * 16)[:before] + "stupid" + "clown")
+        assert "stupid" in toxicity.spaced_words(run.encode().split(), m), before
+    long = ".".join("youarestupid" * 2000)
+    assert toxicity.restore(long, m).split() == ["you", "are", "stupid"] * 2000
+    assert toxicity.Features(m).document(b"y.o.u.s.t.u.p.i.d") >= {"you", "stupid"}
+
+
 def brute_decode(token, model):
     import itertools
 
