@@ -3,8 +3,8 @@
 A token that may be disguised (digits or symbols for letters, separators between letters, letters
 repeated, single letters spaced out) becomes a lattice of what each of its characters can stand
 for, each reading at a channel cost; Viterbi decoding under a character trigram model finds the
-likeliest word.  A token without such signs has one path through its lattice, itself, and is not
-decoded.  The restored words and their prefixes are the features of a logistic model.
+likeliest word.  A token with one path through its lattice stands for itself and is not decoded; so
+does a number.  The restored words and their prefixes are the features of a logistic model.
 
 The character model counts the words of every labelled training row.  The logistic model is fitted
 on at most ``max_rows`` labelled training rows, chosen by a hash of the id, which is the documented
@@ -44,7 +44,12 @@ SEPARATORS = ".-_*~^'`,/\\#%&"
 COST = {"leet": 1.0, "drop": 1.0, "repeat": 1.0, "break": 1.0}
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_SIGNS = re.compile(r"[^\W\d_][0-9@$!|+€(£]|[0-9@$!|+€(£][^\W\d_]|(\w)\1\1|[^\W\d_][.\-_*~^'`,/\\#%&]+[^\W\d_]")
+#: Edges that cannot stand for letters.
+_PLAIN_EDGE = re.compile(r"^(?:[^\w@$!|+€(£]|_)+|(?:[^\w@$!|+€(£]|_)+$")
+#: A character that can be read in more than one way: the lattice has several paths.
+_SIGNS = re.compile(r"[0-9@$!|+€(£]|[.\-_*~^'`,/\\#%&]|(.)\1", re.DOTALL)
+#: Digits without a letter are a number, with its currency sign and stops.
+_NUMBER = re.compile(r"[$€£+(]?[\d\W]*\d[%€$£+]?!*")
 _BROKEN = re.compile(r"[^\W_][.\-_*~^'`,/\\#%&]+[^\W_]")
 _SEPARATED = re.compile(r"(?:[^\W_]|[@$!|+€(£])(?:[.\-_*~^'`,/\\#%&]+(?:[^\W_]|[@$!|+€(£]))+")
 
@@ -74,8 +79,12 @@ class CharModel:
 
 
 def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """For each run of one character, what it can stand for and the cost of that."""
+    """For each run of one character, what it can stand for and the cost of that.  Symbols at the
+    edges may also be punctuation, which is dropped at no cost."""
     out = []
+    core = _EDGE.sub("", token)
+    first = token.find(core) if core else len(token)
+    last = first + len(core)
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
         arcs = [(m[0], 0.0)]
@@ -83,7 +92,9 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             arcs += [(c, COST["repeat"])] + [(c * 2, COST["repeat"])] * (n > 2)
         for letter in LEET.get(c, ""):
             arcs += [(letter, COST["leet"] + (n > 1) * COST["repeat"])] + [(letter * 2, COST["leet"])] * (n == 2)
-        if c in SEPARATORS:
+        if core and (m.end() <= first or m.start() >= last):
+            arcs.append(("", 0.0))
+        elif c in SEPARATORS:
             arcs.append(("", COST["drop"]))
         if spaced:
             arcs += [(" " + s, cost + COST["break"]) for s, cost in arcs]
@@ -145,25 +156,21 @@ def decode_token(token: str, model: CharModel) -> str:
 
 
 def restore(word: str, model: CharModel) -> str:
-    """A word without edge punctuation, decoded if it bears a sign of disguise."""
-    bare = _EDGE.sub("", word)
-    if not bare:
+    """A word without edge punctuation, decoded if it can be read in more than one way.  A symbol at an
+    edge may be a letter or punctuation, which costs nothing to drop; the character model decides."""
+    bare, whole = _EDGE.sub("", word), _PLAIN_EDGE.sub("", word)
+    if not _SIGNS.search(whole) or _NUMBER.fullmatch(whole) or (not bare and len(set(whole)) < 2):
         return bare
-    if "$" in word or "!" in word or "@" in word or "|" in word or "(" in word:
-        # A symbol at an edge may be a letter; the plain reading is kept unless the whole decodes to more letters.
-        whole = word.strip(".,;:?\"'[]{}<>*%&#")
-        if _SIGNS.search(whole) and not re.search(r"[$!|]{2}$", whole):
-            return decode_token(whole, model)
-    return decode_token(bare, model) if _SIGNS.search(bare) else bare
+    return decode_token(whole, model)
 
 
 #: Word lengths in bytes to 1 where the word can be one letter.
 _SHORT = bytes(1 <= n <= 2 for n in range(256))
-_RUN = re.compile(rb"\x01{4,}")
+_RUN = re.compile(rb"\x01{3,}")
 
 
 def spaced_words(words: list[bytes], model: CharModel) -> list[str]:
-    """Words spelled as four or more single letters in a row."""
+    """Words spelled as three or more single letters in a row."""
     try:
         lengths = bytes(map(len, words))
     except ValueError:  # a word of over 255 bytes
@@ -176,7 +183,7 @@ def spaced_words(words: list[bytes], model: CharModel) -> list[str]:
             if len(t) == 1 and (t.isalnum() or t in "@$!"):
                 run.append(t)
                 continue
-            if len(run) >= 4 and sum(map(str.isalpha, run)) * 2 > len(run):
+            if len(run) >= 3 and sum(map(str.isalpha, run)) * 2 > len(run):
                 out += decode("".join(run), model, spaced=True).split()
             run = []
     return out

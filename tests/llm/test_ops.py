@@ -155,6 +155,14 @@ def test_toxicity_restores_at_any_length():
     assert toxicity.Features(m).document(b"y.o.u.s.t.u.p.i.d") >= {"you", "stupid"}
 
 
+def test_toxicity_restores_plain_disguises():
+    m = char_model(["idiot", "stupid", "shit", "ass", "class", "the", "hello", "letter", "too", "wow", "book", "euro", "loser"])
+    forms = {"stuupid": "stupid", "idiiot": "idiot", "shi+": "shit", "a$$": "ass", "cla$$": "class", "@ss": "ass", "\"$tupid!\"": "stupid", "€uro": "euro", "£oser": "loser", "|oser!!": "loser"}
+    plain = {"hello": "hello", "letter,": "letter", "too": "too", "book!": "book", "wow!!": "wow", "(the)": "the", "2024": "2024", "$50": "50", "!!!": "", "...": "", "50%": "50"}
+    assert {w: toxicity.restore(w, m) for w in forms | plain} == forms | plain
+    assert toxicity.spaced_words(b"what an a s s he was".split(), m) == ["ass"]
+
+
 def brute_decode(token, model):
     import itertools
 
