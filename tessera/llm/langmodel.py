@@ -158,8 +158,8 @@ def _sum_up(t):
         if kind == "uni":
             real = distinct != _START
             stats = int(((total > 0) & real).sum()), int(total[real].sum()), int(held[real].sum())
-    rows = [(b, shard, *[_pack(answers[k][i].astype(np.uint32)) for k in ("uni", "uni_fold", "pair", "pair_fold")], 0, 0, 0) for i, b in enumerate(blocks)]
-    empty = _pack(np.empty(0, np.uint32))
+    rows = [(b, shard, *[_pack(answers[k][i].astype(np.uint64)) for k in ("uni", "uni_fold", "pair", "pair_fold")], 0, 0, 0) for i, b in enumerate(blocks)]
+    empty = _pack(np.empty(0, np.uint64))
     return _table([*rows, (-1, shard, empty, empty, empty, empty, *stats)], _TOTALS)
 
 
@@ -169,7 +169,7 @@ class Block:
     def __init__(self, docs, totals):
         self.tok = tok = Tokens(utf8(docs.column("text").combine_chunks()))
         by_shard = sorted(zip(totals.column("shard").to_pylist(), *[totals.column(k).to_pylist() for k in ("uni", "uni_fold", "pair", "pair_fold")], strict=True))
-        get = lambda i: np.concatenate([_unpack(r[i], "<u4") for r in by_shard] or [np.empty(0, np.uint32)]).astype(np.int64)
+        get = lambda i: np.concatenate([_unpack(r[i], "<u8") for r in by_shard] or [np.empty(0, np.uint64)]).astype(np.int64)
         uni, uni_fold, self.pair, self.pair_fold = get(1), get(2), get(3), get(4)
         self.uni, self.uni_fold = np.empty_like(uni), np.empty_like(uni_fold)
         self.uni[tok.order], self.uni_fold[tok.order] = uni, uni_fold

@@ -562,6 +562,17 @@ def test_lm_same_for_any_blocks(docs):
     assert len(a) == docs.count()
 
 
+def test_lm_totals_beyond_32_bits():
+    """Many blocks' counts of a word add up to more than 2**32."""
+    docs_ = langmodel._table([("a a b",)], "text binary").set_column(0, "text", [["a a b"]])
+    tok = langmodel.Tokens([b"a a b"])
+    uni, full = tok.uni[tok.order], np.uint32(2**32 - 1)
+    one = langmodel._pack(langmodel._diff(uni)), langmodel._pack(np.full(len(uni), full)), langmodel._pack(langmodel._diff(tok.pair)), langmodel._pack(np.full(len(tok.pair), full))
+    t = langmodel._sum_up(langmodel._table([(0, b, b == 1, *one) for b in range(3)], langmodel._SENT))
+    got = langmodel.Block(docs_, t.filter(np.array(t.column("block")) == 0))
+    assert set(got.uni) == set(got.pair) == {3 * (2**32 - 1)} and set(got.uni_fold) == set(got.pair_fold) == {2**32 - 1}
+
+
 def test_lm_is_a_distribution():
     """Over the vocabulary and one unknown word, probabilities after each context sum to 1."""
     texts_ = [b"a b a c", b"b a", b"c c a b"]
