@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import words
 
-K, WINDOW = 5, 32
+K, WINDOW = 5, 4
 #: Of the packed long: 32 bits of hash above, 31 bits of complemented position below.
 _LAST = 2**31 - 1
 #: Rows that a range of ids is meant to hold, and the most ranges (the bounds are a driver's list).

@@ -524,6 +524,14 @@ def test_winnow_query(spark, sf, texts):
     assert np.mean([r.near_edited for r in got.values()]) > 3 * np.mean([r.near_next for r in got.values()])
 
 
+def test_winnow_short_edited_texts(spark):
+    """Texts whose unchanged part holds 8 whole words stay alike; two thirds of 13 words do."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x:05d}" for x in rng.integers(0, 90_000, 13 + i % 60))) for i in range(240)]
+    got = winnow.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 240 and min(r.near_edited for r in got) > 0
+
+
 def test_winnow_odd(spark, odd, empty):
     got = winnow.fingerprint_documents(odd).collect()
     assert len(got) == len(ODD)
