@@ -1,28 +1,30 @@
 """Packing by lexical retrieval: a sharded BM25 index fills each seed document's window.
 
-Documents are dealt to shards of about ``shard_chars`` characters; the documents of a shard share
-an affinity (by default their language) and are spread by a hash of their id, so a hot source or a
-group of copies is spread too.  A shard is packed by one task: its documents are tokenised, their
-words indexed (postings with BM25 weights), and a greedy walk lays them end to end.  The document
-at a window's start is its seed; when a document ends inside the window, the unused neighbour of
-the seed with the highest BM25 score follows it, cut at the window's end, and the cut document
-seeds the next window.  When no unused document shares a scoring word, the next unused one follows.
-So every window but a shard's last is full; the last is cut into powers of two, which need no padding.
-
-A shard that outgrows its size (its rows are long) is packed in parts of ``shard_chars``
-characters, so a task's memory is bounded for any input.
-
-Edge cases: a null or empty text is its end token alone; rows that repeat an id are packed row by
-row; the empty table gives an empty result.  Columns other than doc_id, text and the affinity
-are ignored; a missing affinity column is treated as null.
+One pass tokenises the documents and counts, over the whole corpus, in how many of them each word
+stands (in ``2**BIN_BITS`` bins of the word's hash; words are read off the ids as the tokenizer cuts
+them, so "the", "The" and a "the" without a space before it are three words).  A document's leader is its rarest word that at least ``LEADER_DF`` documents hold, so documents that share
+rare words, copies above all, have the same leader and come to lie side by side; a leader of more than
+``LEADER_DOCS`` documents is dealt to several groups by a hash of the id.  Tasks take whole groups and
+cut their sorted rows into shards of about ``shard_ids`` ids, several a task.
+
+A shard is an inverted index (postings with BM25 weights under the corpus-wide document frequencies
+and mean length), and a greedy walk lays its documents end to end.  The document at a window's start is
+its seed; when a document ends inside the window, the unused neighbour of the seed with the highest
+BM25 score follows it, cut at the window's end, and the cut document seeds the next window.  When no
+unused document shares a scoring word, the next unused one follows.  So every window but a shard's
+last is full; the last is cut into powers of two, which need no padding.
+
+A task holds one shard at a time, and the number of tasks grows with the ids, not with the shards.
+
+Edge cases: a null or empty text is its end token alone; the string of an added token in a text is that
+token, as the tokenizers library has it; rows that repeat an id are packed row by row; the empty table
+gives an empty result.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,18 +32,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch, shuffle_partitions
+
 WINDOW, END_ID = 2048, 1
-SHARD_CHARS = 2_000_000
+#: Ids of a shard, and ids that a task is meant to pack.
+SHARD_IDS, TASK_IDS = 1_000_000, 16_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-CACHE = 400_000
+#: Bins of word hashes whose documents are counted.
+BIN_BITS = 20
+#: Added to the documents of a bin that holds too few for a leader, so that it comes after all others.
+LATER = 1 << 39
+#: Least documents of a leader, and documents of one group of a leader.
+LEADER_DF, LEADER_DOCS = 256, 2000
+
+#: The GPT-2 split pattern (fixed), with possessive runs: the same pieces, found faster.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-#: White space of the tokenizer's pattern (Unicode White_Space).
-_S = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Pieces that the tokenizer's pattern never joins: a word with the space before it, white space.
-_CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: The GPT-2 split pattern (fixed).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ENCODED = "doc_id long, ids binary, bins array<int>, docs array<long>, n_docs long, n_terms long"
 
 
 def tokenizer_path() -> str:
@@ -58,63 +67,163 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Chunk -> its ids as little-endian uint16, remembered; the ids are those that the tokenizers
-    library gives for the file, special tokens' strings being ordinary text."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (multiply and xor-shift)."""
+    with np.errstate(over="ignore"):
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class Encoder:
+    """The ids that the tokenizers library gives for the file, added tokens included, and the words that
+    stand in them: a word is a run of ids of letters and digits that no space breaks."""
 
     def __init__(self, path: str):
-        super().__init__()
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        added = {t["content"]: t["id"] for t in file["added_tokens"]}
         symbol = byte_symbols()
-        ranks = {bytes(symbol[c] for c in t): i for t, i in vocab.items() if all(c in symbol for c in t) and not (t.startswith("<|") and t.endswith("|>"))}
-        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.core.encode_ordinary(chunk), dtype="<u2").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        ranks = {bytes(symbol[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in added}
+        size = max([*ranks.values(), *added.values()]) + 1
+        if size > 1 << 16:
+            raise ValueError("ids of 16 bits are packed")
+        self.added = set(added)
+        core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self._encode = core._core_bpe.encode_to_tiktoken_buffer
+        self.is_word, self.opens = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        for t, i in ranks.items():
+            self.is_word[i] = any(c >= 0x80 or chr(c).isalnum() for c in t)
+            self.opens[i] = t[:1].isspace()
+        with np.errstate(over="ignore"):
+            self.value = _mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            self.power = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, dtype=np.uint64))
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _CHUNK.findall(text))), dtype="<u2")
+        return np.frombuffer(self._encode(text, self.added), dtype="<u4").astype("<u2")
+
+    def words(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of documents laid end to end, which start at ``first``, and how many each has."""
+        word = self.is_word[ids]
+        new = self.opens[ids]
+        new[1:] |= ~word[:-1]
+        new[first] = True
+        new &= word
+        upto = np.concatenate([[0], np.cumsum(new)])
+        n = np.diff(upto[np.concatenate([first, [len(ids)]])])
+        at = np.flatnonzero(word)
+        if not len(at):
+            return np.empty(0, np.uint64), n
+        start = np.flatnonzero(new)
+        with np.errstate(over="ignore"):
+            part = self.value[ids[at]] * self.power[(at - start[upto[at + 1] - 1]) & 63]
+            return _mixed(np.add.reduceat(part, np.flatnonzero(new[at]))), n
 
 
 @lru_cache(maxsize=1)
 def worker_encoder(path: str) -> Encoder:
-    """A worker's encoder with what it remembers, kept from task to task."""
+    """A worker's encoder, kept from task to task."""
     return Encoder(path)
 
 
+def bins_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def laid_out(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column's documents end to end, and where each starts."""
+    parts = [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+    size = np.array([len(x) for x in parts], dtype=np.int64)
+    return np.concatenate(parts) if parts else np.empty(0, "<u2"), np.cumsum(size) - size
+
+
+def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """A row (doc_id, ids) a document, and a row a task of the bins of its words with how many of its
+    documents hold them, its documents and its words."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in _ENCODED.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        encoder = worker_encoder(path)
+        end, count, n_docs, n_terms = np.array([end_id], dtype="<u2"), np.zeros(1 << BIN_BITS, dtype=np.int64), 0, 0
+        for b in batches:
+            ids = [np.concatenate([encoder.ids(t or ""), end]) for t in b.column(1).to_pylist()]
+            if not ids:
+                continue
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            words, n = encoder.words(np.concatenate(ids), np.cumsum(size) - size)
+            for x in np.split(bins_of(words), np.cumsum(n)[:-1]):
+                count[x] += 1  # once a document: numpy adds to a repeated place only once
+            n_docs, n_terms = n_docs + len(n), n_terms + len(words)
+            none = pa.nulls(len(ids))
+            cols = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), *(none.cast(t) for t in (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        seen = np.flatnonzero(count)
+        cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.list_(pa.int32())), pa.array([count[seen]], pa.list_(pa.int64())), pa.array([n_docs]), pa.array([n_terms])]
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
+
+
+class Corpus:
+    """What the packing knows of all documents: how many hold each bin of words, how many there are, and
+    their mean length.  Bounded by the bins."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float):
+        self.df, self.n_docs, self.mean = df, n_docs, mean
+        self.idf = np.where(df > 1, np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))), 0.0)
+
+    @classmethod
+    def of(cls, encoded: DataFrame) -> Corpus:
+        stats = encoded.where("bins is not null")
+        n, terms = stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        rows = stats.select(F.explode(F.arrays_zip("bins", "docs")).alias("x")).groupBy("x.bins").agg(F.sum("x.docs").alias("docs")).toPandas()
+        df = np.zeros(1 << BIN_BITS, dtype=np.int64)
+        df[rows.bins.to_numpy(np.int64)] = rows.docs.to_numpy(np.int64)
+        return cls(df, n, terms / n if n else 0.0)
+
+
+def leaders(bins: np.ndarray, n: np.ndarray, df: np.ndarray, least: int = LEADER_DF, places: int = 2) -> np.ndarray:
+    """For each document the ``places`` rarest bins of its words that at least ``least`` documents hold (or
+    two, where no word has so many), rarest first, as (documents of the bin << BIN_BITS) + bin; -1 where
+    there is none.  A row a place."""
+    out = np.full((places, len(n)), -1, dtype=np.int64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    first = (np.cumsum(n) - n)[some]
+    far, none = np.int64(2**62), np.int64(2**40)
+    d = df[bins]
+    key = np.where(d >= least, d, np.where(d >= 2, d + LATER, none)) << BIN_BITS | bins
+    for k in range(places):
+        low = np.minimum.reduceat(key, first)
+        found = low < none << BIN_BITS
+        out[k, some[found]] = low[found]
+        key = np.where(key == np.repeat(low, n[some]), far, key)
+    return out
+
+
 class Index:
-    """BM25 over a shard's documents.  Words in half of the documents or more score nothing."""
-
-    def __init__(self, texts: list[bytes]):
-        n = len(texts)
-        vocab: dict[bytes, int] = {}
-        terms, tfs, sizes, lengths = [], [], np.zeros(n, dtype=np.int64), np.zeros(n)
-        for i, t in enumerate(texts):
-            c = Counter(t.lower().split())
-            lengths[i] = c.total()
-            sizes[i] = len(c)
-            terms.extend(vocab.setdefault(w, len(vocab)) for w in c)
-            tfs.extend(c.values())
-        term, tf, doc = np.array(terms, dtype=np.int64), np.array(tfs, dtype=np.float64), np.repeat(np.arange(n), sizes)
-        df = np.bincount(term, minlength=len(vocab))
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))) * (df > 1)
-        keep = idf[term] > 0
-        term, tf, doc = term[keep], tf[keep], doc[keep]
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0)) if n else lengths
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(term, kind="stable")
+    """BM25 over a shard's documents under the corpus's statistics.  A word in half of all documents or
+    more, or in one alone, scores nothing."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, corpus: Corpus):
+        self.n = len(n)
+        term, self.place = np.unique(words, return_inverse=True)
+        key, tf = np.unique(np.repeat(np.arange(self.n), n) * len(term) + self.place, return_counts=True)
+        doc, term_of = (key // len(term), key % len(term)) if len(term) else (key, key)
+        idf = corpus.idf[bins_of(term)] * (np.bincount(term_of, minlength=len(term)) > 1)
+        keep = idf[term_of] > 0
+        doc, term_of, tf = doc[keep], term_of[keep], tf[keep]
+        norm = K1 * (1 - B + B * n / max(corpus.mean, 1.0))
+        weight = idf[term_of] * tf * (K1 + 1) / (tf + norm[doc])
+        order = np.argsort(term_of, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocab)))])
-        self.query = np.split(term, np.cumsum(np.bincount(doc, minlength=n))[:-1]) if n else []
-        self.n = n
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term_of, minlength=len(term)))])
+        self.query = np.split(term_of, np.cumsum(np.bincount(doc, minlength=self.n))[:-1]) if self.n else []
 
     def scores(self, seed: int) -> np.ndarray:
         q = self.query[seed]
@@ -125,10 +234,10 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def order_documents(texts: list[bytes], lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def order_documents(index: Index, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The order in which the greedy walk lays a shard's documents."""
-    n = len(texts)
-    index, used, out = Index(texts), np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
+    n = index.n
+    used, out = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
     at, next_, seed, scores = 0, 0, 0, None
     for i in range(n):
         best = -1
@@ -162,10 +271,11 @@ def cut_points(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def pack_shard(ids: list[np.ndarray], texts: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], encoder: Encoder, corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int, int, int]]:
     """(place of the document, start, length, crc32, its ids, sequence, offset) per piece."""
     lengths = np.array([len(x) for x in ids], dtype=np.int64)
-    order = order_documents(texts, lengths, window)
+    words, n = encoder.words(np.concatenate(ids), np.cumsum(lengths) - lengths)
+    order = order_documents(Index(words, n, corpus), lengths, window)
     first = np.concatenate([[0], np.cumsum(lengths[order])])
     ends = cut_points(int(first[-1]), window)
     begins = np.concatenate([[0], ends[:-1]])
@@ -180,42 +290,62 @@ def pack_shard(ids: list[np.ndarray], texts: list[bytes], window: int = WINDOW)
     return out
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, affinity: str = "lang", shard_chars: int = SHARD_CHARS) -> DataFrame:
+def grouped(encoded: DataFrame, path: str, corpus: Corpus, leader_df: int = LEADER_DF, leader_docs: int = LEADER_DOCS) -> DataFrame:
+    """doc_id, ids, lead, part, next: the leader, the leader's group and the second leader."""
+    import pyarrow as pa
+
+    schema = "doc_id long, ids binary, lead long, part long, next long"
+
+    def run(batches: Iterator) -> Iterator:
+        encoder = worker_encoder(path)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, first = laid_out(b.column(1))
+            words, n = encoder.words(ids, first)
+            lead, second = leaders(bins_of(words), n, corpus.df, leader_df)
+            held = np.where(lead < 0, corpus.n_docs, (lead >> BIN_BITS) & (LATER - 1))
+            groups = -(-held // leader_docs)
+            salt = np.array([zlib.crc32(x, (i or 0) & 0xFFFFFFFF) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], dtype=np.uint64)
+            part = (_mixed(salt + np.uint64(0x9E3779B97F4A7C15)) % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lead), pa.array(part), pa.array(second)], ["doc_id", "ids", "lead", "part", "next"])
+
+    return encoded.where("bins is null").select("doc_id", "ids").mapInArrow(run, schema)
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
     import pyarrow as pa
     from pyspark import TaskContext
 
     path = path or tokenizer_path()
-    near = F.col(affinity).cast("string") if affinity in docs.columns else F.lit(None).cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), near.alias("_near"), F.xxhash64("doc_id").alias("_spread"))
-    chars = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-chars // shard_chars))
-    d = d.repartitionByRange(shards, "_near", "_spread").sortWithinPartitions("_near", "_spread", "text")
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    scratch = Scratch(docs.sparkSession)
+    encoded = scratch.keep(encode(docs, path, end_id), "ids")
+    corpus = Corpus.of(encoded)
+    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2
+    tasks = max(shuffle_partitions(docs.sparkSession), -(-total // TASK_IDS))
+    d = grouped(encoded, path, corpus).repartition(tasks, "lead", "part").sortWithinPartitions("lead", "part", "next", "doc_id", "ids")
+    names = [f.split()[0] for f in _PIECE.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
-        encoder, part = worker_encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u2")
-        base, who, ids, texts, size = part << 40, [], [], [], 0
+        encoder, base = worker_encoder(path), TaskContext.get().partitionId() << 40
+        who, ids, size = [], [], 0
 
         def flush():
-            rows = pack_shard(ids, texts, window)
-            cols = np.array(rows, dtype=np.int64).reshape(-1, 7).T
-            top = int(cols[5].max()) + 1 if len(rows) else 0
+            cols = np.array(pack_shard(ids, encoder, corpus, window), dtype=np.int64).reshape(-1, 7).T
             owner = [who[i] for i in cols[0].tolist()]
-            return top, pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *map(pa.array, (cols[1], cols[2], cols[3], cols[4], cols[5] + base, cols[6]))], names)
+            return int(cols[5].max()) + 1, pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *map(pa.array, (cols[1], cols[2], cols[3], cols[4], cols[5] + base, cols[6]))], names)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 who.append(i)
-                ids.append(np.concatenate([encoder.ids(t), end]))
-                texts.append(t.encode())
-                size += len(texts[-1])
-                if size >= 2 * shard_chars:
+                ids.append(np.frombuffer(x, "<u2"))
+                size += len(ids[-1])
+                if size >= shard_ids:
                     top, out = flush()
                     yield out
-                    base, who, ids, texts, size = base + top, [], [], [], 0
+                    base, who, ids, size = base + top, [], [], 0
         if who:
             yield flush()[1]
 
-    return d.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return d.select("doc_id", "ids").mapInArrow(run, _PIECE)

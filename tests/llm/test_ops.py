@@ -319,7 +319,7 @@ def check_pieces(rows, texts):
 
 
 def test_packing(spark, docs, texts):
-    check_pieces(packing.pack_documents(docs.where("doc_id < 60"), shard_chars=40_000).collect(), [(i, t) for i, t in texts.items() if i < 60])
+    check_pieces(packing.pack_documents(docs.where("doc_id < 60"), shard_ids=20_000).collect(), [(i, t) for i, t in texts.items() if i < 60])
 
 
 def test_packing_odd(odd, empty):
@@ -327,20 +327,111 @@ def test_packing_odd(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_ids_are_the_librarys(spark, texts):
+    """Added tokens, contractions, runs of spaces and other scripts."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    odd = ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a  b \n\n c \t", "   ", " \xa0 x\u3000 y ", "it's we'll IT'S they've 'd", "日本語 ١٢٣ naïve e\u0301", "\x1c\x85 \x0b\x0c", "a<|endoftext|", "'" * 50, "9" * 400, "ab" * 5000]
+    for x in [*odd, *texts.values()]:
+        assert e.ids(x or "").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    rows = list(enumerate(odd))
+    check_pieces(packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def word_hashes(texts_):
+    """Word hashes and their numbers, as the packing reads them off the ids, and the corpus of just these texts."""
+    e = packing.Encoder(packing.tokenizer_path())
+    ids = [np.append(e.ids(t), np.uint16(1)) for t in texts_]
+    size = np.array([len(x) for x in ids])
+    words, n = e.words(np.concatenate(ids), np.cumsum(size) - size)
+    df = np.zeros(1 << packing.BIN_BITS, dtype=np.int64)
+    for x in np.split(packing.bins_of(words), np.cumsum(n)[:-1]):
+        df[x] += 1
+    return ids, words, n, packing.Corpus(df, len(n), float(n.mean()))
+
+
+def test_packing_words(texts):
+    """Runs of ids between spaces and punctuation are words: equal words after a space have equal hashes, others not."""
+    sample = [re.sub(r"[^A-Za-z]+", " ", " " + t) for t in texts.values() if t and t.isascii()][:40]
+    _, words, n, _ = word_hashes(sample)
+    want = [w for t in sample for w in t.split()]
+    assert n.sum() == len(want)
+    assert len(set(zip(words.tolist(), want, strict=True))) == len(set(want)) == len(set(words.tolist()))
+
+
+def brute_bm25(texts_, q, d):
+    tf = [Counter(t.split()) for t in texts_]
+    n, mean, s = len(tf), sum(x.total() for x in tf) / len(tf), 0.0
+    for w in tf[q]:
+        df = sum(w in x for x in tf)
+        idf = max(0.0, math.log((n - df + 0.5) / (df + 0.5)))
+        if df > 1:
+            s += idf * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * tf[d].total() / mean))
+    return s
+
+
 def test_bm25_scores():
-    docs_ = [b"a b c d", b"a b x", b"c c d y z", b"q r s t u v", b"m n o p"]
-    index = packing.Index(docs_)
-    n, tf = len(docs_), [Counter(d.split()) for d in docs_]
-    mean = sum(x.total() for x in tf) / n
-    for q in range(n):
-        for d in range(n):
-            s = 0.0
-            for w in tf[q]:
-                df = sum(w in x for x in tf)
-                idf = max(0.0, math.log((n - df + 0.5) / (df + 0.5)))
-                if df > 1:
-                    s += idf * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * tf[d].total() / mean))
-            assert index.scores(q)[d] == pytest.approx(s)
+    docs_ = [" alpha beta gamma delta", " alpha beta x", " gamma gamma delta y z", " q r s t u v", " m n o p"]
+    _, words, n, corpus = word_hashes(docs_)
+    index = packing.Index(words, n, corpus)
+    for q in range(len(docs_)):
+        for d in range(len(docs_)):
+            assert index.scores(q)[d] == pytest.approx(brute_bm25(docs_, q, d))
+
+
+def test_packing_walk():
+    """The greedy walk against its definition: the seed's best unused neighbour follows, else the next unused."""
+    import random
+
+    rng = random.Random(3)
+    vocab = [f" {w}{v}" for w in ("sun", "moon", "star", "rain", "snow") for v in "abcdefgh"]
+    docs_ = ["".join(rng.choice(vocab) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    ids, words, n, corpus = word_hashes(docs_)
+    window, lengths = 64, np.array([len(x) for x in ids])
+    got = packing.order_documents(packing.Index(words, n, corpus), lengths, window).tolist()
+    want, left, at, seed = [], list(range(len(docs_))), 0, 0
+    for i in range(len(docs_)):
+        best = left[0]
+        if at % window and i:
+            scores = [(round(brute_bm25(docs_, seed, d), 9), -d) for d in left]
+            if max(scores)[0] > 0:
+                best = -max(scores)[1]
+        left.remove(best)
+        want.append(best)
+        before, at = at, at + int(lengths[best])
+        if before % window == 0 or before // window != at // window:
+            seed = best
+    assert got == want
+
+
+def test_packing_leaders():
+    """The rarest words that enough documents hold; rarer ones only where none has so many."""
+    df = np.zeros(1 << packing.BIN_BITS, dtype=np.int64)
+    df[[3, 4, 5, 6, 7]] = 1, 2, 300, 260, 9
+    bins, n = np.array([3, 4, 5, 6, 7, 5, 6, 3, 4, 7, 3]), np.array([5, 2, 0, 3, 1])
+    lead, second = packing.leaders(bins, n, df, least=256)
+    part = lambda x: (-1 if x < 0 else int(x) & ((1 << packing.BIN_BITS) - 1))
+    assert [part(x) for x in lead] == [6, 6, -1, 4, -1]
+    assert [part(x) for x in second] == [5, 5, -1, 7, -1]
+
+
+def test_packing_brings_copies_together(spark):
+    """Near copies that are far apart in the table land in one shard and follow each other."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(150):
+        t = [word() for _ in range(60)]
+        rows += [(i, " ".join(t)), (1000 + i, " ".join([*t[:-2], word()]))]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shard_ids=4000).collect()
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.doc_id, set()).add(r.sequence_id)
+    near = sum(min(abs(a - b) for a in seqs[i] for b in seqs[1000 + i]) <= 1 for i in range(150))
+    assert near >= 135
 
 
 # --- 6 ------------------------------------------------------------------------------------------
