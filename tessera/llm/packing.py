@@ -27,6 +27,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,8 +40,12 @@ WINDOW, END_ID = 2048, 1
 SHARD_IDS, TASK_IDS = 1_000_000, 16_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
+#: Ids whose words are read off at a time.
+SLICE_IDS = 1 << 18
 #: Bins of word hashes whose documents are counted.
 BIN_BITS = 20
+#: Parts in which the bins are added up, and documents that are encoded at a time.
+SLOTS, ENCODE_ROWS = 64, 1000
 #: Added to the documents of a bin that holds too few for a leader, so that it comes after all others.
 LATER = 1 << 39
 #: Least documents of a leader, and documents of one group of a leader.
@@ -50,7 +55,7 @@ LEADER_DF, LEADER_DOCS = 256, 2000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ENCODED = "doc_id long, ids binary, bins array<int>, docs array<long>, n_docs long, n_terms long"
+_ENCODED = "doc_id long, ids binary, task int, slot int, counts binary"
 
 
 def tokenizer_path() -> str:
@@ -98,28 +103,42 @@ class Encoder:
             self.is_word[i] = any(c >= 0x80 or chr(c).isalnum() for c in t)
             self.opens[i] = t[:1].isspace()
         with np.errstate(over="ignore"):
-            self.value = _mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            self.value = np.where(self.is_word, _mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
             self.power = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, dtype=np.uint64))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self._encode(text, self.added), dtype="<u4").astype("<u2")
 
     def words(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of documents laid end to end, which start at ``first``, and how many each has."""
+        """Hashes of the words of documents laid end to end, which start at ``first``, and how many each has.
+        A word's hash sums its ids' values times a power of their place; other ids have value 0."""
         word = self.is_word[ids]
         new = self.opens[ids]
         new[1:] |= ~word[:-1]
         new[first] = True
         new &= word
-        upto = np.concatenate([[0], np.cumsum(new)])
-        n = np.diff(upto[np.concatenate([first, [len(ids)]])])
-        at = np.flatnonzero(word)
-        if not len(at):
-            return np.empty(0, np.uint64), n
         start = np.flatnonzero(new)
+        bounds = np.searchsorted(start, first)
+        n = np.diff(bounds, append=len(start))
+        if not len(start):
+            return np.empty(0, np.uint64), n
+        place = np.arange(len(ids), dtype=np.int32)
+        place[: start[0]] = 0
+        place[start[0] :] -= np.repeat(start.astype(np.int32), np.diff(start, append=len(ids)))
+        place &= 63
         with np.errstate(over="ignore"):
-            part = self.value[ids[at]] * self.power[(at - start[upto[at + 1] - 1]) & 63]
-            return _mixed(np.add.reduceat(part, np.flatnonzero(new[at]))), n
+            return _mixed(np.add.reduceat(self.value[ids] * self.power[place], start)), n
+
+    def words_of(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any documents, some at a time, so that the arrays on the way stay small."""
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(size), np.arange(SLICE_IDS, int(size.sum()), SLICE_IDS), side="right")
+        hashes, counts = [], []
+        for lo, hi in pairwise(np.unique([0, *cuts, len(ids)]).tolist()):
+            h, n = self.words(np.concatenate(ids[lo:hi]), np.cumsum(size[lo:hi]) - size[lo:hi])
+            hashes.append(h)
+            counts.append(n)
+        return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(counts or [np.empty(0, np.int64)])
 
 
 @lru_cache(maxsize=1)
@@ -132,38 +151,42 @@ def bins_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BIN_BITS)).astype(np.int64)
 
 
-def laid_out(column) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a binary column's documents end to end, and where each starts."""
-    parts = [np.frombuffer(x, "<u2") for x in column.to_pylist()]
-    size = np.array([len(x) for x in parts], dtype=np.int64)
-    return np.concatenate(parts) if parts else np.empty(0, "<u2"), np.cumsum(size) - size
+def _packed(a: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(a.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(data), "<i8")
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """A row (doc_id, ids) a document, and a row a task of the bins of its words with how many of its
-    documents hold them, its documents and its words."""
+    """A row (doc_id, ids) a document, and a row a task and slot: in how many of the task's documents the words
+    of each of the slot's bins stand.  The last slot has the numbers of documents and words."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    names = [f.split()[0] for f in _ENCODED.split(", ")]
+    def batch(who, ids, task, slot, counts):
+        return pa.RecordBatch.from_arrays([who, pa.array(ids, pa.binary()), pa.array(task, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "ids", "task", "slot", "counts"])
 
     def run(batches: Iterator) -> Iterator:
-        encoder = worker_encoder(path)
-        end, count, n_docs, n_terms = np.array([end_id], dtype="<u2"), np.zeros(1 << BIN_BITS, dtype=np.int64), 0, 0
+        encoder, task = worker_encoder(path), TaskContext.get().partitionId()
+        end, count, n_docs, n_words = np.array([end_id], dtype="<u2"), np.zeros(1 << BIN_BITS, dtype=np.int64), 0, 0
         for b in batches:
-            ids = [np.concatenate([encoder.ids(t or ""), end]) for t in b.column(1).to_pylist()]
-            if not ids:
-                continue
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            words, n = encoder.words(np.concatenate(ids), np.cumsum(size) - size)
-            for x in np.split(bins_of(words), np.cumsum(n)[:-1]):
-                count[x] += 1  # once a document: numpy adds to a repeated place only once
-            n_docs, n_terms = n_docs + len(n), n_terms + len(words)
-            none = pa.nulls(len(ids))
-            cols = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), *(none.cast(t) for t in (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names)
-        seen = np.flatnonzero(count)
-        cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.list_(pa.int32())), pa.array([count[seen]], pa.list_(pa.int64())), pa.array([n_docs]), pa.array([n_terms])]
-        yield pa.RecordBatch.from_arrays(cols, names)
+            for at in range(0, b.num_rows, ENCODE_ROWS):
+                part = b.slice(at, ENCODE_ROWS)
+                ids = [np.concatenate([encoder.ids(t or ""), end]) for t in part.column(1).to_pylist()]
+                words, n = encoder.words_of(ids)
+                for x in np.split(bins_of(words), np.cumsum(n)[:-1]):
+                    count[x] += 1  # once a document: numpy adds to a repeated place only once
+                n_docs, n_words = n_docs + len(n), n_words + len(words)
+                none = [None] * len(ids)
+                yield batch(part.column(0), [x.tobytes() for x in ids], none, none, none)
+        slots = [*np.split(count, SLOTS), np.array([n_docs, n_words])]
+        yield batch(pa.nulls(len(slots), pa.int64()), [None] * len(slots), [task] * len(slots), range(len(slots)), list(map(_packed, slots)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
 
@@ -176,14 +199,27 @@ class Corpus:
         self.df, self.n_docs, self.mean = df, n_docs, mean
         self.idf = np.where(df > 1, np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))), 0.0)
 
+    def __reduce__(self):  # small in a task's closure
+        return _corpus, (_packed(self.df), self.n_docs, self.mean)
+
     @classmethod
     def of(cls, encoded: DataFrame) -> Corpus:
-        stats = encoded.where("bins is not null")
-        n, terms = stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-        rows = stats.select(F.explode(F.arrays_zip("bins", "docs")).alias("x")).groupBy("x.bins").agg(F.sum("x.docs").alias("docs")).toPandas()
-        df = np.zeros(1 << BIN_BITS, dtype=np.int64)
-        df[rows.bins.to_numpy(np.int64)] = rows.docs.to_numpy(np.int64)
-        return cls(df, n, terms / n if n else 0.0)
+        import pyarrow as pa
+
+        def add_up(t):
+            total = sum(map(_unpacked, t.column("counts").to_pylist()))
+            return pa.table({"slot": t.column("slot")[:1], "task": pa.array([0], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
+
+        rows, schema = encoded.where("slot is not null").select("slot", "task", "counts"), "slot int, task int, counts binary"
+        rows = rows.groupBy("slot", F.pmod("task", F.lit(256))).applyInArrow(add_up, schema).groupBy("slot").applyInArrow(add_up, schema)
+        found = {r.slot: _unpacked(r.counts) for r in rows.collect()}  # a row a slot
+        n, words = found.get(SLOTS, (0, 0))
+        return cls(np.concatenate([found[i] for i in range(SLOTS)]) if found else np.zeros(1 << BIN_BITS, dtype=np.int64), int(n), float(words / n) if n else 0.0)
+
+
+@lru_cache(maxsize=2)
+def _corpus(packed: bytes, n_docs: int, mean: float) -> Corpus:
+    return Corpus(_unpacked(packed), n_docs, mean)
 
 
 def leaders(bins: np.ndarray, n: np.ndarray, df: np.ndarray, least: int = LEADER_DF, places: int = 2) -> np.ndarray:
@@ -208,25 +244,34 @@ def leaders(bins: np.ndarray, n: np.ndarray, df: np.ndarray, least: int = LEADER
 
 class Index:
     """BM25 over a shard's documents under the corpus's statistics.  A word in half of all documents or
-    more, or in one alone, scores nothing."""
+    more, or in one alone, scores nothing.  A posting is found by the first 44 bits of its word's hash."""
 
     def __init__(self, words: np.ndarray, n: np.ndarray, corpus: Corpus):
         self.n = len(n)
-        term, self.place = np.unique(words, return_inverse=True)
-        key, tf = np.unique(np.repeat(np.arange(self.n), n) * len(term) + self.place, return_counts=True)
-        doc, term_of = (key // len(term), key % len(term)) if len(term) else (key, key)
-        idf = corpus.idf[bins_of(term)] * (np.bincount(term_of, minlength=len(term)) > 1)
-        keep = idf[term_of] > 0
-        doc, term_of, tf = doc[keep], term_of[keep], tf[keep]
+        bits = np.uint64(max(20, self.n.bit_length()))
+        key = (words >> bits << bits) | np.repeat(np.arange(self.n, dtype=np.uint64), n)
+        key.sort()
+        new = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        tf, key = np.diff(new, append=len(key)), key[new]
+        word = key >> bits
+        first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+        held = np.diff(first, append=len(word))
+        idf = np.where(held > 1, corpus.idf[bins_of(key[first])], 0.0)
+        keep = idf > 0
+        rows = np.repeat(keep, held)
+        idf, held = idf[keep], held[keep]
+        self.doc = (key[rows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        tf = tf[rows]
         norm = K1 * (1 - B + B * n / max(corpus.mean, 1.0))
-        weight = idf[term_of] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(term_of, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term_of, minlength=len(term)))])
-        self.query = np.split(term_of, np.cumsum(np.bincount(doc, minlength=self.n))[:-1]) if self.n else []
+        self.weight = np.repeat(idf, held) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        # The words of each document: the postings again, by document.
+        narrow = self.doc.astype(np.uint16) if self.n <= 1 << 16 else self.doc
+        self.term = np.repeat(np.arange(len(held)), held)[np.argsort(narrow, kind="stable")]
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
 
     def scores(self, seed: int) -> np.ndarray:
-        q = self.query[seed]
+        q = self.term[self.own[seed] : self.own[seed + 1]]
         if not len(q):
             return np.zeros(self.n)
         lo, size = self.start[q], self.start[q + 1] - self.start[q]
@@ -274,7 +319,7 @@ def cut_points(total: int, window: int = WINDOW) -> np.ndarray:
 def pack_shard(ids: list[np.ndarray], encoder: Encoder, corpus: Corpus, window: int = WINDOW) -> list[tuple[int, int, int, int, int, int, int]]:
     """(place of the document, start, length, crc32, its ids, sequence, offset) per piece."""
     lengths = np.array([len(x) for x in ids], dtype=np.int64)
-    words, n = encoder.words(np.concatenate(ids), np.cumsum(lengths) - lengths)
+    words, n = encoder.words_of(ids)
     order = order_documents(Index(words, n, corpus), lengths, window)
     first = np.concatenate([[0], np.cumsum(lengths[order])])
     ends = cut_points(int(first[-1]), window)
@@ -301,8 +346,7 @@ def grouped(encoded: DataFrame, path: str, corpus: Corpus, leader_df: int = LEAD
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, first = laid_out(b.column(1))
-            words, n = encoder.words(ids, first)
+            words, n = encoder.words_of([np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()])
             lead, second = leaders(bins_of(words), n, corpus.df, leader_df)
             held = np.where(lead < 0, corpus.n_docs, (lead >> BIN_BITS) & (LATER - 1))
             groups = -(-held // leader_docs)
@@ -310,7 +354,7 @@ def grouped(encoded: DataFrame, path: str, corpus: Corpus, leader_df: int = LEAD
             part = (_mixed(salt + np.uint64(0x9E3779B97F4A7C15)) % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lead), pa.array(part), pa.array(second)], ["doc_id", "ids", "lead", "part", "next"])
 
-    return encoded.where("bins is null").select("doc_id", "ids").mapInArrow(run, schema)
+    return encoded.where("slot is null").select("doc_id", "ids").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
