@@ -5,12 +5,15 @@ P(w | u) = a2[b] c(u,w)/c(u) + a1[b] c(w)/N + a0[b]/(V+1), with one set of weigh
 maximisation on the tokens of a tenth of the training documents whose counts are held out of the
 estimates meanwhile; scores then use the counts of all training documents.
 
-Distribution: documents are dealt to blocks by a hash of their id.  A block counts its distinct
-words and word pairs, as sorted arrays of hashes (64 and 56 bits), and sends each slice of the hash
-range to its shard as one compressed row.  A shard adds up what all blocks sent and answers each
-block with the totals in the block's own order, so an answer needs no keys.  Then every block scores
-its documents by itself.  Hot words are one key a block wherever they occur, so no key is skewed;
-blocks and shards grow in number with the corpus, never in size.
+Distribution: documents are dealt to blocks by a hash of id and text.  A block counts its distinct words and
+word pairs, as sorted arrays of hashes (64 and 56 bits), and sends each slice of the hash range as one
+compressed row; there are at most ``2**SLICE_BITS`` slices however many blocks there are.  A slice's rows
+are added up and each block is answered with the totals in the block's own order, so an answer needs no
+keys.  Where more than ``fan`` blocks meet in a slice, teams of ``team`` blocks first add up among
+themselves, cut their slice ``team``-fold finer and are blocks in their turn, as often as it takes; the
+answers come back the same way.  So rows and bytes grow with the corpus and not with its square, and no
+task's share grows.  Then every block scores its documents by itself.  A hot word is one key a block
+wherever it occurs, so no key is skewed.
 
 Edge cases: a null or empty text is its end token; without training documents N and V are 0 and
 every base probability is 1/1 by the formula; ids that repeat are scored row by row; an empty
@@ -30,6 +33,9 @@ from tessera.llm.common import Scratch, crc_mod, shuffle_partitions, utf8
 
 #: Bytes of text in a block.
 BLOCK_BYTES, LEAST_BLOCK = 12_000_000, 200_000
+#: Most slices of the hash range that a block's counts are cut into (a power of two), most blocks that a slice
+#: adds up at once, and blocks (a power of two) that add up among themselves first where there are more.
+SLICE_BITS, FAN, TEAM = 10, 2048, 64
 #: Training documents whose counts are held out while the weights are learned: one in so many.
 FOLD = 10
 ROUNDS = 40
@@ -100,18 +106,14 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel() if len(raw) else np.empty(0, dtype)
 
 
-def _slices(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Bounds of each shard's slice of sorted keys; the shard is a range of the hash."""
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 def _diff(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-_SENT = "shard int, block int, fold boolean, uni binary, uni_n binary, pair binary, pair_n binary"
-_TOTALS = "block int, shard int, uni binary, uni_fold binary, pair binary, pair_fold binary, v long, n long, n_fold long"
+_KINDS = ("uni", "pair")
+_ENTRY = "slice long, unit long, uni binary, uni_n binary, uni_held binary, pair binary, pair_n binary, pair_held binary"
+_TOTALS = "slice long, unit long, uni_n binary, uni_held binary, pair_n binary, pair_held binary, v long, n long, n_held long"
+_ANSWER = _TOTALS[: _TOTALS.index(", v ")]
 
 
 def _table(rows: list[tuple], schema: str):
@@ -123,44 +125,105 @@ def _table(rows: list[tuple], schema: str):
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _send(shards: int):
+def _entries(unit: int, counts: dict, bits: int, first: int, slices: int) -> list[tuple]:
+    """A unit's rows of ``slices`` slices from ``first``, a slice being the first ``bits`` of the hash.
+    ``counts``: by kind, sorted keys, their counts and those of the held-out fold."""
+    edges = np.array([s << (64 - bits) for s in range(first + 1, first + slices)], dtype=np.uint64)
+    cuts = {k: [0, *np.searchsorted(counts[k][0], edges).tolist(), len(counts[k][0])] for k in _KINDS}
+    rows = []
+    for i in range(slices):
+        part = [x[cuts[k][i] : cuts[k][i + 1]] for k in _KINDS for x in counts[k]]
+        if len(part[0]) or len(part[3]):
+            part[0], part[3] = _diff(part[0]), _diff(part[3])
+            rows.append((first + i, unit, *map(_pack, part)))
+    return rows
+
+
+def _send(bits: int):
     def send(t):
         tok = Tokens(utf8(t.column("text").combine_chunks()))
         role = np.array(t.column("role").to_pylist())
-        block, fold = t.column("block")[0].as_py(), bool((role == 1).any())
-        uni_n, pair_n = tok.counts(role < 2)
-        uni = tok.uni[tok.order]
-        a, b, rows = _slices(uni, shards), _slices(tok.pair, shards), []
-        for s in range(shards):
-            i, j = slice(a[s], a[s + 1]), slice(b[s], b[s + 1])
-            if i.start < i.stop or j.start < j.stop:
-                rows.append((s, block, fold, _pack(_diff(uni[i])), _pack(uni_n[i].astype(np.uint32)), _pack(_diff(tok.pair[j])), _pack(pair_n[j].astype(np.uint32))))
-        return _table(rows, _SENT)
+        uni_n, pair_n = (x.astype(np.uint64) for x in tok.counts(role < 2))
+        fold = np.uint64((role == 1).any())
+        counts = {"uni": (tok.uni[tok.order], uni_n, uni_n * fold), "pair": (tok.pair, pair_n, pair_n * fold)}
+        return _table(_entries(t.column("block")[0].as_py(), counts, bits, 0, 1 << bits), _ENTRY)
 
     return send
 
 
-def _sum_up(t):
-    """A shard's totals, answered block by block."""
-    shard = t.column("shard")[0].as_py()
-    blocks, folds = t.column("block").to_pylist(), np.array(t.column("fold").to_pylist())
-    answers, stats = {}, (0, 0, 0)
-    for kind in ("uni", "pair"):
+class United:
+    """The rows of several units for one slice, added up by key."""
+
+    def __init__(self, t, kind: str):
         keys = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in t.column(kind).to_pylist()]
-        counts = [_unpack(x, "<u4").astype(np.int64) for x in t.column(f"{kind}_n").to_pylist()]
-        sizes = np.array([len(k) for k in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n, fold = np.concatenate(counts), np.repeat(folds, sizes)
-        total = np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64)
-        held = np.bincount(at, weights=n * fold, minlength=len(distinct)).astype(np.int64)
-        cuts = np.cumsum(sizes)[:-1]
-        answers[kind], answers[f"{kind}_fold"] = np.split(total[at], cuts), np.split(held[at], cuts)
-        if kind == "uni":
-            real = distinct != _START
-            stats = int(((total > 0) & real).sum()), int(total[real].sum()), int(held[real].sum())
-    rows = [(b, shard, *[_pack(answers[k][i].astype(np.uint64)) for k in ("uni", "uni_fold", "pair", "pair_fold")], 0, 0, 0) for i, b in enumerate(blocks)]
-    empty = _pack(np.empty(0, np.uint64))
-    return _table([*rows, (-1, shard, empty, empty, empty, empty, *stats)], _TOTALS)
+        self.cuts = np.cumsum([len(k) for k in keys])[:-1]
+        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.n, self.held = (self._sum(t.column(f"{kind}_{c}")) for c in ("n", "held"))
+
+    def _sum(self, column) -> np.ndarray:
+        # Sums of whole numbers: in doubles only where they stay exact, below 2**53.
+        parts = np.concatenate([_unpack(x, "<u8") for x in column.to_pylist()])
+        if parts.sum(dtype=np.float64) < 2.0**53:
+            return np.bincount(self.at, weights=parts, minlength=len(self.keys)).astype(np.uint64)
+        out = np.zeros(len(self.keys), dtype=np.uint64)
+        np.add.at(out, self.at, parts)
+        return out
+
+    def answers(self, totals: np.ndarray) -> list[bytes]:
+        """For each unit the totals of its own keys."""
+        return [_pack(x) for x in np.split(totals[self.at], self.cuts)]
+
+
+def _sum_up(t):
+    """A slice's totals, answered unit by unit, and (as unit -1) what the slice adds to V, N and the held-out N."""
+    slice_, units = t.column("slice")[0].as_py(), t.column("unit").to_pylist()
+    uni, pair = (United(t, k) for k in _KINDS)
+    real = uni.keys != _START
+    stats = int(((uni.n > 0) & real).sum()), int(uni.n[real].sum()), int(uni.held[real].sum())
+    cols = [u.answers(x) for u in (uni, pair) for x in (u.n, u.held)]
+    return _table([*((slice_, u, *c, 0, 0, 0) for u, *c in zip(units, *cols, strict=True)), (slice_, -1, *[b""] * 4, *stats)], _TOTALS)
+
+
+def _merge(bits: int, more: int):
+    """A team's rows of one slice as one unit's rows of its finer slices."""
+
+    def merge(t):
+        counts = {k: (u.keys, u.n, u.held) for k in _KINDS for u in [United(t, k)]}
+        return _table(_entries(t.column("team")[0].as_py(), counts, bits + more, t.column("slice")[0].as_py() << more, 1 << more), _ENTRY)
+
+    return merge
+
+
+def _spread(t, up):
+    """A team's answers of the finer slices, given back to its units."""
+    if not t.num_rows:
+        return _table([], _ANSWER)
+    up = up.sort_by("sub")
+    slice_, units = t.column("slice")[0].as_py(), t.column("unit").to_pylist()
+    cols = []
+    for k in _KINDS:
+        u = United(t, k)
+        cols += [u.answers(np.concatenate([_unpack(x, "<u8") for x in up.column(f"{k}_{c}").to_pylist()])) for c in ("n", "held")]
+    return _table([(slice_, u, *c) for u, *c in zip(units, *cols, strict=True)], _ANSWER)
+
+
+def _dealt(df: DataFrame, groups: int, *keys: str):
+    """Grouped by ``keys``, of which there are about ``groups``: so many tasks at least that each has a few."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), groups), *keys).groupBy(*keys)
+
+
+def corpus_totals(entries: DataFrame, units: int, bits: int, scratch: Scratch, fan: int = FAN, team: int = TEAM) -> tuple[DataFrame, DataFrame]:
+    """(slice, unit, totals of its keys), (v, n, n_held in parts), from the rows of ``units`` units."""
+    if units <= fan:
+        both = scratch.keep(_dealt(entries, (1 << bits) // 4, "slice").applyInArrow(_sum_up, _TOTALS), "totals")
+        return both.where("unit >= 0").drop("v", "n", "n_held"), both.where("unit < 0").select("v", "n", "n_held")
+    more, teams = team.bit_length() - 1, -(-units // team)
+    entries = scratch.keep(entries, "entries").withColumn("team", F.floor(F.col("unit") / team))
+    groups = (teams << bits) // 4
+    up, stats = corpus_totals(_dealt(entries, groups, "slice", "team").applyInArrow(_merge(bits, more), _ENTRY), teams, bits + more, scratch, fan, team)
+    up = up.withColumnsRenamed({"slice": "sub", "unit": "team"}).withColumn("slice", F.shiftright("sub", more))
+    spread = _dealt(entries, groups, "slice", "team").cogroup(_dealt(up, groups, "slice", "team")).applyInArrow(_spread, _ANSWER)
+    return scratch.keep(spread, "answers"), stats
 
 
 class Block:
@@ -168,9 +231,9 @@ class Block:
 
     def __init__(self, docs, totals):
         self.tok = tok = Tokens(utf8(docs.column("text").combine_chunks()))
-        by_shard = sorted(zip(totals.column("shard").to_pylist(), *[totals.column(k).to_pylist() for k in ("uni", "uni_fold", "pair", "pair_fold")], strict=True))
-        get = lambda i: np.concatenate([_unpack(r[i], "<u8") for r in by_shard] or [np.empty(0, np.uint64)]).astype(np.int64)
-        uni, uni_fold, self.pair, self.pair_fold = get(1), get(2), get(3), get(4)
+        totals = totals.sort_by("slice")
+        get = lambda c: np.concatenate([_unpack(x, "<u8") for x in totals.column(c).to_pylist()] or [np.empty(0, np.uint64)]).astype(np.int64)
+        uni, uni_fold, self.pair, self.pair_fold = map(get, ("uni_n", "uni_held", "pair_n", "pair_held"))
         self.uni, self.uni_fold = np.empty_like(uni), np.empty_like(uni_fold)
         self.uni[tok.order], self.uni_fold[tok.order] = uni, uni_fold
 
@@ -221,7 +284,7 @@ def weights_by_bucket(found: dict[int, np.ndarray]) -> np.ndarray:
 # --- the operator -----------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_bytes: int = BLOCK_BYTES, slice_bits: int = SLICE_BITS, fan: int = FAN, team: int = TEAM) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession)
     held = crc_mod(F.col("doc_id"), 7) == 2 if is_held_out is None else is_held_out
@@ -229,16 +292,16 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
     # A small corpus is dealt to smaller blocks, so that its work is not left to a few tasks.
     blocks = max(1, -(-size // block_bytes), min(shuffle_partitions(docs.sparkSession), size // LEAST_BLOCK))
     folds = max(1, blocks // FOLD)
+    bits = min(slice_bits, max(4, (2 * blocks).bit_length()))
     role = F.when(held, 2).when(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLD)) == 0, 1).otherwise(0)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), role.alias("role"))
-    h = F.xxhash64("doc_id")
-    d = d.withColumn("block", F.when(F.col("role") == 1, F.lit(blocks) + F.pmod(h, F.lit(folds))).otherwise(F.pmod(h, F.lit(blocks))).cast("int"))
-
-    sent = d.groupBy("block").applyInArrow(_send(blocks), _SENT)
-    totals = scratch.keep(sent.groupBy("shard").applyInArrow(_sum_up, _TOTALS), "totals")
-    stats = totals.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "n_fold")]).first()
-    v, n, n_fold = map(int, stats)
-    answers = totals.where("block >= 0").drop("v", "n", "n_fold")
+    h = F.xxhash64("doc_id", "text")
+    d = d.withColumn("block", F.when(F.col("role") == 1, F.lit(blocks) + F.pmod(h, F.lit(folds))).otherwise(F.pmod(h, F.lit(blocks))).cast("long"))
+
+    sent = _dealt(d, blocks, "block").applyInArrow(_send(bits), _ENTRY)
+    answers, stats = corpus_totals(sent, blocks + folds, bits, scratch, fan, team)
+    answers = answers.withColumnRenamed("unit", "block")
+    v, n, n_fold = map(int, stats.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "n_held")]).first())
     n_main = max(1, n - n_fold)
 
     def histogram(docs, totals):
@@ -251,7 +314,7 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
         return _table([(*map(int, r), int(c)) for r, c in zip(found, count, strict=True)], "b int, q2 int, q1 int, n long")
 
     fold_docs = d.where("role = 1")
-    hist = fold_docs.groupBy("block").cogroup(answers.where(F.col("block") >= blocks).groupBy("block")).applyInArrow(histogram, "b int, q2 int, q1 int, n long")
+    hist = _dealt(fold_docs, folds, "block").cogroup(_dealt(answers.where(F.col("block") >= blocks), folds, "block")).applyInArrow(histogram, "b int, q2 int, q1 int, n long")
     # Bounded by the bins: buckets by octave bins of two ratios, whatever the corpus.
     seen = np.array([tuple(r) for r in hist.groupBy("b", "q2", "q1").agg(F.sum("n")).collect()], dtype=np.float64).reshape(-1, 4)
     ratio = lambda q: np.where(q > -(2**19), np.exp2(q / OCTAVE), 0.0)
@@ -273,4 +336,4 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
         held = [r == 2 for r in docs.column("role").to_pylist()]
         return _table(list(zip(docs.column("doc_id").to_pylist(), held, block.tok.size.tolist(), add((word > 0).astype(np.int64)), repeat(n), base, add(np.log10(p)))), out)  # noqa: B905
 
-    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out)
+    return _dealt(d, blocks, "block").cogroup(_dealt(answers, blocks, "block")).applyInArrow(score, out)

@@ -49,7 +49,7 @@ SLOTS, ENCODE_ROWS = 64, 1000
 #: Added to the documents of a bin that holds too few for a leader, so that it comes after all others.
 LATER = 1 << 39
 #: Least documents of a leader, and documents of one group of a leader.
-LEADER_DF, LEADER_DOCS = 256, 2000
+LEADER_DF, LEADER_DOCS = 256, 1000
 
 #: The GPT-2 split pattern (fixed), with possessive runs: the same pieces, found faster.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"

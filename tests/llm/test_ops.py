@@ -654,22 +654,71 @@ def test_lm_base(docs, odd, texts, block_bytes):
         assert all(math.isfinite(r.score) for r in got)
 
 
-def test_lm_same_for_any_blocks(docs):
-    a = {r.doc_id: r.score for r in langmodel.score_documents(docs, block_bytes=10**9).collect()}
-    held = [r for r in langmodel.score_documents(docs, block_bytes=10**9).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert len(a) == docs.count()
+def brute_lm_scores(rows, fold_of):
+    """Deleted interpolation by its definition, on dictionaries; ``fold_of``: which training rows the weights are learned on."""
+    tok = lambda t: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None]
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def counted(rows_):
+        uni, pair, ctx = Counter(), Counter(), Counter()
+        for _, t in rows_:
+            w = tok(t)
+            uni.update(w)
+            pair.update(zip([0, *w], w, strict=False))
+            ctx.update([0, *w[:-1]])
+        ctx[None] = uni[None]
+        return uni, pair, ctx
+
+    uni, pair, ctx = counted(train)
+    uni_, pair_, ctx_ = counted([r for r in train if not fold_of(r[0])])
+    n, v, n_ = uni.total(), len(uni), uni_.total()
+    bucket = lambda c: c.bit_length()
+    q = lambda a, b: 2 ** (round(langmodel.OCTAVE * math.log2(a / b)) / langmodel.OCTAVE) if a else 0.0
+    seen = Counter()
+    for i, t in train:
+        if fold_of(i):
+            w = tok(t)
+            for u, x in zip([0, *w], w, strict=False):
+                seen[bucket(ctx_[u]), q(pair_[u, x], max(ctx_[u], 1)), q(uni_[x], n_)] += 1
+    weights = langmodel.weights_by_bucket(langmodel.expectation_maximisation(np.array([(*k, c) for k, c in seen.items()], dtype=float), 1 / (v + 1)))
+    out = {}
+    for i, t in rows:
+        w, s = tok(t), 0.0
+        for u, x in zip([0, *w], w, strict=False):
+            a = weights[bucket(ctx[u])]
+            s += math.log10(a[0] * pair[u, x] / max(ctx[u], 1) + a[1] * uni[x] / n + a[2] / (v + 1))
+        out[i] = s
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20_000, "slice_bits": 3}, {"block_bytes": 20_000, "slice_bits": 2, "fan": 3, "team": 2}])
+def test_lm_scores(spark, docs, texts, options):
+    """Scores against the definition, for one block, many blocks, and blocks that add up in teams of teams."""
+    from pyspark.sql import functions as F
+
+    ids = [r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(langmodel.FOLD)) == 0).collect()]
+    want = brute_lm_scores(list(texts.items()), set(ids).__contains__)
+    got = {r.doc_id: r.score for r in langmodel.score_documents(docs, **options).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_lm_totals_beyond_32_bits():
-    """Many blocks' counts of a word add up to more than 2**32."""
-    docs_ = langmodel._table([("a a b",)], "text binary").set_column(0, "text", [["a a b"]])
+    """Many blocks' counts of a word add up to more than 2**32, and beyond what doubles hold exactly."""
+    docs_ = langmodel._table([(b"a a b",)], "text binary").set_column(0, "text", [["a a b"]])
     tok = langmodel.Tokens([b"a a b"])
-    uni, full = tok.uni[tok.order], np.uint32(2**32 - 1)
-    one = langmodel._pack(langmodel._diff(uni)), langmodel._pack(np.full(len(uni), full)), langmodel._pack(langmodel._diff(tok.pair)), langmodel._pack(np.full(len(tok.pair), full))
-    t = langmodel._sum_up(langmodel._table([(0, b, b == 1, *one) for b in range(3)], langmodel._SENT))
-    got = langmodel.Block(docs_, t.filter(np.array(t.column("block")) == 0))
-    assert set(got.uni) == set(got.pair) == {3 * (2**32 - 1)} and set(got.uni_fold) == set(got.pair_fold) == {2**32 - 1}
+    for big in (2**32 - 1, 2**53 + 1):
+        full = lambda k: np.full(len(k), big, dtype=np.uint64)  # noqa: B023, E731
+        rows = []
+        for unit in range(3):
+            counts = {k: (keys, full(keys), full(keys) * np.uint64(unit == 1)) for k, keys in (("uni", tok.uni[tok.order]), ("pair", tok.pair))}
+            rows += langmodel._entries(unit, counts, 0 or 1, 0, 2)
+        t = langmodel._table(rows, langmodel._ENTRY)
+        import pyarrow as pa
+
+        parts = [langmodel._sum_up(t.filter(np.array(t.column("slice")) == s)) for s in (0, 1) if s in t.column("slice").to_pylist()]
+        answers = pa.concat_tables(parts)
+        got = langmodel.Block(docs_, answers.filter(np.array(answers.column("unit")) == 0))
+        assert set(got.uni.tolist()) == set(got.pair.tolist()) == {3 * big} and set(got.uni_fold.tolist()) == set(got.pair_fold.tolist()) == {big}
 
 
 def test_lm_is_a_distribution():
