@@ -212,10 +212,15 @@ def _dealt(df: DataFrame, groups: int, *keys: str):
     return df.repartition(max(shuffle_partitions(df.sparkSession), groups), *keys).groupBy(*keys)
 
 
+def _placed(df: DataFrame, groups: int, key: str):
+    """Grouped by ``key``, numbers in a row, which are dealt to the tasks in turn."""
+    return df.withColumn(key, F.col(key).cast("int")).repartitionById(max(shuffle_partitions(df.sparkSession), groups), key).groupBy(key)
+
+
 def corpus_totals(entries: DataFrame, units: int, bits: int, scratch: Scratch, fan: int = FAN, team: int = TEAM) -> tuple[DataFrame, DataFrame]:
     """(slice, unit, totals of its keys), (v, n, n_held in parts), from the rows of ``units`` units."""
     if units <= fan:
-        both = scratch.keep(_dealt(entries, (1 << bits) // 4, "slice").applyInArrow(_sum_up, _TOTALS), "totals")
+        both = scratch.keep((_placed if bits < 31 else _dealt)(entries, (1 << bits) // 4, "slice").applyInArrow(_sum_up, _TOTALS), "totals")
         return both.where("unit >= 0").drop("v", "n", "n_held"), both.where("unit < 0").select("v", "n", "n_held")
     more, teams = team.bit_length() - 1, -(-units // team)
     entries = scratch.keep(entries, "entries").withColumn("team", F.floor(F.col("unit") / team))
@@ -298,7 +303,7 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
     h = F.xxhash64("doc_id", "text")
     d = d.withColumn("block", F.when(F.col("role") == 1, F.lit(blocks) + F.pmod(h, F.lit(folds))).otherwise(F.pmod(h, F.lit(blocks))).cast("long"))
 
-    sent = _dealt(d, blocks, "block").applyInArrow(_send(bits), _ENTRY)
+    sent = _placed(d, blocks + folds, "block").applyInArrow(_send(bits), _ENTRY)
     answers, stats = corpus_totals(sent, blocks + folds, bits, scratch, fan, team)
     answers = answers.withColumnRenamed("unit", "block")
     v, n, n_fold = map(int, stats.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "n_held")]).first())
@@ -314,7 +319,7 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
         return _table([(*map(int, r), int(c)) for r, c in zip(found, count, strict=True)], "b int, q2 int, q1 int, n long")
 
     fold_docs = d.where("role = 1")
-    hist = _dealt(fold_docs, folds, "block").cogroup(_dealt(answers.where(F.col("block") >= blocks), folds, "block")).applyInArrow(histogram, "b int, q2 int, q1 int, n long")
+    hist = _placed(fold_docs, folds, "block").cogroup(_placed(answers.where(F.col("block") >= blocks), folds, "block")).applyInArrow(histogram, "b int, q2 int, q1 int, n long")
     # Bounded by the bins: buckets by octave bins of two ratios, whatever the corpus.
     seen = np.array([tuple(r) for r in hist.groupBy("b", "q2", "q1").agg(F.sum("n")).collect()], dtype=np.float64).reshape(-1, 4)
     ratio = lambda q: np.where(q > -(2**19), np.exp2(q / OCTAVE), 0.0)
@@ -336,4 +341,4 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None, block_by
         held = [r == 2 for r in docs.column("role").to_pylist()]
         return _table(list(zip(docs.column("doc_id").to_pylist(), held, block.tok.size.tolist(), add((word > 0).astype(np.int64)), repeat(n), base, add(np.log10(p)))), out)  # noqa: B905
 
-    return _dealt(d, blocks, "block").cogroup(_dealt(answers, blocks, "block")).applyInArrow(score, out)
+    return _placed(d, blocks + folds, "block").cogroup(_placed(answers, blocks + folds, "block")).applyInArrow(score, out)
