@@ -125,21 +125,25 @@ def test_simhash_odd(odd, empty):
 
 def test_toxicity_restores():
     words = ["idiot", "stupid", "moron", "clown", "the", "hello", "world"] * 5
-    grams = Counter()
-    for w in words:
-        s = f"^^{w}$"
-        grams.update(map("".join, zip(s, s[1:], s[2:])))  # noqa: B905
-    m = toxicity.CharModel(grams)
+    m = char_model(words)
     assert [toxicity.restore(w, m) for w in ("1d10t", "$tupid", "m0r0n", "c.l.o.w.n", "stuuuupid", "hello,", "the***", "2024")] == ["idiot", "stupid", "moron", "clown", "stupid", "hello", "the", "2024"]
     assert toxicity.spaced_words(b"so i d i o t is".split(), m) == ["idiot"]
 
 
 def char_model(words):
-    grams = Counter()
-    for w in words:
-        s = f"^^{w}$"
-        grams.update(map("".join, zip(s, s[1:], s[2:])))  # noqa: B905
-    return toxicity.CharModel(grams)
+    return toxicity.CharModel(toxicity.gram_counts(words))
+
+
+def test_char_model_is_interpolated():
+    words = ["idiot", "stupid", "dido"]
+    m, text = char_model(words), [f"^^{w}$" for w in words]
+    count = lambda g: sum(t[i : i + len(g)] == g for t in text for i in range(2 if len(g) == 1 else 0, len(t)))
+    n = sum(len(t) - 2 for t in text)
+    for context, c in (("^^", "i"), ("di", "d"), ("id", "$"), ("zz", "i"), ("xd", "i"), ("zz", "q")):
+        p3 = count(context + c) / count(context) if count(context + c) else 0.0
+        after = sum(t[i] == context[1] for t in text for i in range(1, len(t) - 1))
+        p2 = sum(t[i : i + 2] == context[1] + c for t in text for i in range(1, len(t) - 1)) / after if after else 0.0
+        assert m.logp(context, c) == pytest.approx(math.log(0.7 * p3 + 0.2 * p2 + 0.09 * count(c) / n + 1e-4))
 
 
 def test_toxicity_restores_at_any_length():
@@ -176,11 +180,7 @@ def brute_decode(token, model):
 
 
 def test_viterbi_is_exact():
-    grams = Counter()
-    for w in ("idiot", "stupid", "tree", "boss", "tools"):
-        s = f"^^{w}$"
-        grams.update(map("".join, zip(s, s[1:], s[2:])))  # noqa: B905
-    m = toxicity.CharModel(grams)
+    m = char_model(("idiot", "stupid", "tree", "boss", "tools"))
     for token in ("1d10t", "t00l$", "b0ss", "tr33", "5.t.u", "aaa1", "!!|"):
         got = toxicity.decode(token, m)
         assert got == brute_decode(token, m)[1], token
@@ -194,7 +194,39 @@ def test_toxicity_query(spark, labels):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     hit = [r for r in held if r.predicted]
     assert sum(r.toxic for r in hit) / len(hit) > 0.9
-    assert sum(r.predicted for r in held if r.toxic) / sum(r.toxic for r in held) > 0.6
+    assert sum(r.predicted for r in held if r.toxic) / sum(r.toxic for r in held) > 0.75
+
+
+def test_toxicity_model_is_of_the_rows_alone(spark):
+    """The same rows in other files and orders give the same model."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    a, b = toxicity.fit(d.coalesce(1), lab), toxicity.fit(d.repartition(7, "text"), lab.repartition(3))
+    assert a.counts == b.counts and a.names == b.names
+    assert a.weights.tolist() == pytest.approx(b.weights.tolist()) and a.bias == pytest.approx(b.bias)
+
+
+def test_toxicity_never_sees_the_held_out_labels(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    other = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(d, lab), toxicity.fit(d, other)
+    assert a.names == b.names and a.weights.tolist() == b.weights.tolist() and a.counts == b.counts
+
+
+def test_penalty_is_chosen_by_the_training_rows():
+    """Features that say nothing are shrunk away; one that says all is not."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 30)) < 0.3).astype(float)
+    fold, one = np.arange(400) % toxicity.FOLDS, np.ones(400)
+    noise = (rng.random(400) < 0.3).astype(float)
+    assert toxicity.choose_penalty(x, noise, one, fold) == max(toxicity.PENALTIES)
+    assert toxicity.choose_penalty(x, x[:, 0], one, fold) == min(toxicity.PENALTIES)
+    w, b = toxicity.fit_logistic(np.repeat(x, 2, axis=0), np.repeat(x[:, 0], 2), np.ones(800))
+    w2, b2 = toxicity.fit_logistic(x, x[:, 0], 2 * one)
+    assert w.tolist() == pytest.approx(w2.tolist()) and b == pytest.approx(b2)
 
 
 def test_toxicity_odd(spark, odd, empty, labels):
