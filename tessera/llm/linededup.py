@@ -7,11 +7,12 @@ or more with the smallest and the number of their documents; these are dealt to
 and each shard becomes one row of arrays: the bit levels of a minimal perfect hash, and at a key's
 place a compact fingerprint, its holder and its count.  Documents' line hashes probe the arrays of
 their shard, which answer what to drop; the text of a line is never joined or shuffled for that.
-Shards hold about ``shard_keys`` keys at any size, and where a shard is probed often (a line that a
-third of all documents share) its probes are dealt over several copies of its arrays.
+Shards hold about ``shard_keys`` keys at any size, and a shard that is probed more than ``group_probes``
+times (it holds a line that a third of all documents share, say) has as many copies of its arrays as its own
+probes call for.
 
-Edge cases: a null or empty text is one empty line; a null doc_id counts as one document after all
-others; rows that repeat a doc_id are one document, and each is returned with the same decisions;
+Edge cases: a null or empty text is one empty line; null doc_ids count as one document after all
+others (their rows are told apart by a hash of their text, so they make no hot key); rows that repeat a doc_id are one document, and each is returned with the same decisions;
 an empty table gives an empty result; keys that two lines of one document share are dropped or
 stay together.
 """
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, utf8
+from tessera.llm.common import Scratch, bounded_broadcast, utf8
 
 MIN_CHARS = 10
 SHARD_KEYS = 50_000
@@ -119,21 +120,27 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
+def salt() -> Column:
+    """Tells rows without an id apart."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt")
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2): the distinct keys of each document."""
+    """(doc_id, salt, h1, h2): the distinct keys of each document."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            ids, out, who = b.column(0).to_pylist(), [], []
-            for i, t in zip(ids, utf8(b.column(1)), strict=True):
+            ids, salts, out, who, whose = b.column(0).to_pylist(), b.column(2).to_pylist(), [], [], []
+            for i, t, s in zip(ids, utf8(b.column(1)), salts, strict=True):
                 keys = {line_key(x, min_chars) for x in t.split(b"\n")} - {None}
                 out.extend(keys)
                 who.extend([NO_ID if i is None else i] * len(keys))
+                whose.extend([s] * len(keys))
             h = np.frombuffer(b"".join(out), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(whose, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "salt", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", salt()).mapInArrow(run, "doc_id long, salt long, h1 long, h2 long")
 
 
 def _key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -170,28 +177,35 @@ def probe(arrays: pd.DataFrame, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndar
     return holder, count
 
 
+def shard_copies(asked: DataFrame, group_probes: int = GROUP_PROBES) -> DataFrame:
+    """(shard, copies) of the shards that are asked more than ``group_probes`` times."""
+    copies = F.ceil(F.col("n") / group_probes).cast("int").alias("copies")
+    return asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_probes).select("shard", copies)
+
+
 def decisions(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, group_probes: int = GROUP_PROBES) -> DataFrame:
-    """(doc_id, lost): 16-byte hashes, concatenated, of the keys that a document loses."""
+    """(doc_id, salt, lost): 16-byte hashes, concatenated, of the keys that a document loses."""
     lines = scratch.keep(line_hashes(docs, min_chars), "lines")
     shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("docs")).where("holder < _last").drop("_last")
     shared = scratch.keep(shared, "shared")
     shards = max(1, -(-shared.count() // shard_keys))
     arrays = scratch.keep(build_shards(shared, shards), "shards")
-    copies = max(1, -(-lines.count() // (shards * group_probes)))
-    copy_of = F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int")
-    asked = lines.withColumns({"shard": F.pmod("h1", F.lit(shards)).cast("int"), "copy": copy_of})
-    dealt = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    asked = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    hot = bounded_broadcast(scratch.keep(shard_copies(asked, group_probes), "hot"))
+    copies = F.coalesce("copies", F.lit(1))
+    asked = asked.join(hot, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "salt"), copies).cast("int")).drop("copies")
+    dealt = arrays.join(hot, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
 
     def answer(lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if not len(lines) or not len(arrays):
-            return pd.DataFrame({"doc_id": np.empty(0, np.int64), "h1": np.empty(0, np.int64), "h2": np.empty(0, np.int64)})
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc_id", "salt", "h1", "h2")})
         holder, count = probe(arrays, lines.h1.to_numpy(np.int64), lines.h2.to_numpy(np.int64))
-        return lines.loc[(count > 0) & (holder != lines.doc_id.to_numpy(np.int64)), ["doc_id", "h1", "h2"]]
+        return lines.loc[(count > 0) & (holder != lines.doc_id.to_numpy(np.int64)), ["doc_id", "salt", "h1", "h2"]]
 
-    lost = asked.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInPandas(answer, "doc_id long, h1 long, h2 long")
+    lost = asked.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInPandas(answer, "doc_id long, salt long, h1 long, h2 long")
 
     pair = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
-    return lost.groupBy("doc_id").agg(F.array_distinct(F.collect_list(pair)).alias("lost"))
+    return lost.groupBy("doc_id", "salt").agg(F.array_distinct(F.collect_list(pair)).alias("lost"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, group_probes: int = GROUP_PROBES) -> DataFrame:
@@ -200,8 +214,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = S
 
     scratch = Scratch(docs.sparkSession)
     lost = scratch.keep(decisions(docs, scratch, min_chars, shard_keys, group_probes), "lost")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    joined = own.join(lost.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc", F.col("doc.text").alias("_text"), "lost")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"), salt().alias("_salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    joined = own.join(lost.withColumnsRenamed({"doc_id": "_key", "salt": "_salt"}), ["_key", "_salt"], "left").select("doc", F.col("doc.text").alias("_text"), "lost")
     schema = own.select("doc").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
 
     def run(batches: Iterator) -> Iterator:

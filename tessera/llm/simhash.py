@@ -1,9 +1,11 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Fingerprints: 64 bits, majority of the XXH64 (seed 42) of a text's 3-word shingles.  Distinct
-fingerprints form a binary trie.  Its upper ``depth`` levels are traversed pairwise first: two
-prefixes stay a pair while they differ in at most ``max_bits`` bits.  Each surviving pair of
-prefixes is a block of its own; in it the two subtries are traversed together, level by level,
+Fingerprints: 64 bits, majority of the XXH64 (seed 42) of a text's 3-word shingles.  Two fingerprints
+that differ in at most ``max_bits`` bits agree on all bits of one of ``max_bits + 1`` segments (or, cut finer
+for more fingerprints, on all but ``max_bits`` segments).  So the distinct fingerprints form a binary trie
+for each choice of such segments, with these bits at the top, where the error budget is still zero: a node
+at that height meets itself alone, and every fingerprint goes to one block a choice, however many there
+are.  In a block the trie is joined with itself: pairs of nodes are traversed together, level by level,
 adding the differing bits and dropping a pair of nodes once the error budget is exceeded.
 
 A block emits no list of all pairs but the spanning forest of its links, kept by union-find while
@@ -22,16 +24,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, utf8
+from tessera.llm.common import Scratch, bounded_broadcast, shuffle_partitions, utf8
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
-#: Distinct fingerprints that one node at the top traversal's end is meant to hold.
+#: Distinct fingerprints that one block is meant to hold.
 BLOCK_ROWS = 16_384
 #: Node pairs that a traversal holds at a time.
 FRONTIER = 1 << 16
@@ -98,8 +101,9 @@ class Forest:
                 label[:] = up
 
 
-def join_subtries(a: np.ndarray, b: np.ndarray | None, depth: int, max_bits: int = MAX_BITS, frontier: int = FRONTIER) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links of ``a`` with itself (``b`` None) or with ``b``.
+def join_subtries(a: np.ndarray, b: np.ndarray | None, depth: int, max_bits: int = MAX_BITS, frontier: int = FRONTIER, equal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links of ``a`` with itself (``b`` None) or with ``b``, as far as the first
+    ``equal`` bits agree (links that differ there may come too).
 
     a, b: sorted distinct uint64, each under one node at ``depth``.  A node is a range of places of
     the sorted array, so its children are found by bisection at the next bit.  Pairs of nodes are
@@ -141,7 +145,7 @@ def join_subtries(a: np.ndarray, b: np.ndarray | None, depth: int, max_bits: int
         lo, hi, lo2, hi2, err = p.T
         kids = [(lo, cut[0], lo2, cut[1], err), (cut[0], hi, cut[1], hi2, err), (lo, cut[0], cut[1], hi2, err + 1), (cut[0], hi, lo2, cut[1], err + 1)]
         down = np.concatenate([np.stack(k, axis=1) for k in kids])
-        keep = (down[:, 4] <= max_bits) & (down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3])
+        keep = (down[:, 4] <= (max_bits if level >= equal else 0)) & (down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3])
         if same:  # (x, y) and (y, x) are one pair
             keep &= down[:, 0] <= down[:, 2]
         down = down[keep]
@@ -181,45 +185,77 @@ def _cuts(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.nd
 # --- distribution -----------------------------------------------------------------------------
 
 
+def segments(n: int, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> list[int]:
+    """Widths of the segments: ``max_bits + 1``, and more where so many fingerprints would agree on the
+    bits that stand at the top that they overfill a block."""
+    m = max_bits + 1
+    while m < max_bits + 4 and n >> 64 * (m - max_bits) // m > block_rows:
+        m += 1
+    return [64 // m + (i < 64 % m) for i in range(m)]
+
+
+def choices(widths: list[int], max_bits: int = MAX_BITS) -> list[tuple[int, ...]]:
+    """Orders of the segments: each choice of all but ``max_bits`` first, the others after them."""
+    every = range(len(widths))
+    return [(*top, *(i for i in every if i not in top)) for top in combinations(every, len(widths) - max_bits)]
+
+
+def reorder(x: Column, widths: list[int], order: tuple[int, ...]) -> Column:
+    """The bits of a long with its segments in another order."""
+    out, left = F.lit(0).cast("long"), 64
+    for i in order:
+        w, low = widths[i], 64 - sum(widths[: i + 1])
+        left -= w
+        part = x if w == 64 else F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << w) - 1))
+        out = out.bitwiseOR(F.shiftleft(part, left))
+    return out
+
+
+def restored(x: np.ndarray, widths: list[int], order: tuple[int, ...]) -> np.ndarray:
+    """The inverse of ``reorder`` on uint64."""
+    out, left = np.zeros_like(x), 64
+    for i in order:
+        w, low = widths[i], 64 - sum(widths[: i + 1])
+        left -= w
+        out |= (x >> np.uint64(left) & np.uint64((1 << w) - 1)) << np.uint64(low)
+    return out
+
+
 def trie_links(distinct: DataFrame, scratch: Scratch, n: int, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): forests of links among the distinct fingerprints of ``distinct`` (fp), ``n`` in all."""
-    spark = distinct.sparkSession
-    depth = max(1, min(16, math.ceil(math.log2(max(2, n / block_rows)))))
-    # A node's leaves as one sorted block of longs.  Distinct values under a prefix are few by
-    # construction; where fingerprints bunch, `part` deals a node's leaves to blocks of bounded size.
-    node = F.shiftrightunsigned("fp", 64 - depth).cast("int")
-    sizes = distinct.groupBy(node.alias("node")).count()
-    parts = sizes.select("node", F.ceil(F.col("count") / (4 * block_rows)).cast("int").alias("parts"))
-    leaves = distinct.select(node.alias("node"), "fp").join(F.broadcast(parts), "node")  # at most 2**16 rows
-    leaves = leaves.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    widths = segments(n, max_bits, block_rows)
+    orders = choices(widths, max_bits)
+    equal = [sum(widths[i] for i in o[: len(widths) - max_bits]) for o in orders]
+    depth = min(min(equal), max(0, math.ceil(math.log2(max(1, n / block_rows)))))
+    turned = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), reorder(F.col("fp"), widths, o).alias("fp")) for k, o in enumerate(orders)])).alias("t")
+    node = (F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0)).cast("long")
+    leaves = distinct.select(turned).select("t.turn", "t.fp").withColumn("node", node)
+    # A node's leaves as one sorted block of longs; where fingerprints bunch, ``part`` deals them to blocks of
+    # bounded size, each of which meets each.
+    parts = F.ceil(F.col("n") / (4 * block_rows)).cast("int").alias("parts")
+    large = leaves.groupBy("turn", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * block_rows).select("turn", "node", parts)
+    leaves = leaves.join(bounded_broadcast(scratch.keep(large, "large")), ["turn", "node"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"node": [pdf.node.iat[0]], "part": [pdf.part.iat[0]], "leaves": [np.sort(pdf.fp.to_numpy(np.int64).view(np.uint64)).tobytes()]})
-
-    blocks = scratch.keep(leaves.select("node", "part", "fp").groupBy("node", "part").applyInPandas(pack, "node int, part int, leaves binary"), "blocks")
-    near = [m for m in range(1 << depth) if m.bit_count() <= max_bits]
-    names = blocks.select("node", "part")
-    # The top traversal: a node meets those whose prefix differs in an error mask within the budget.
-    pairs = names.select("node", "part", F.explode(F.array(*[F.lit(m) for m in near])).alias("_m")).select("node", "part", F.col("node").bitwiseXOR(F.col("_m")).alias("node2"))
-    pairs = pairs.where("node <= node2").join(names.select(F.col("node").alias("node2"), F.col("part").alias("part2")), "node2")
-    pairs = pairs.where("node < node2 or part <= part2")
-    left = blocks.select("node", "part", F.col("leaves").alias("left"))
-    right = blocks.select(F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("leaves").alias("right"))
-    work = pairs.join(left, ["node", "part"]).join(right, ["node2", "part2"])
-    n_pairs = max(1, (1 << depth) * len(near) // 2)
-    work = work.repartition(max(2, min(n_pairs, 4 * spark.sparkContext.defaultParallelism, 20_000), int(n_pairs / 32)), "node", "part", "node2", "part2")
+        return pd.DataFrame({"turn": [pdf.turn.iat[0]], "node": [pdf.node.iat[0]], "part": [pdf.part.iat[0]], "leaves": [np.sort(pdf.fp.to_numpy(np.int64).view(np.uint64)).tobytes()]})
+
+    tasks = max(shuffle_partitions(distinct.sparkSession), -(-n * len(orders) // (16 * block_rows)))
+    packed = leaves.select("turn", "node", "part", "fp").repartition(tasks, "turn", "node", "part").groupBy("turn", "node", "part").applyInPandas(pack, "turn int, node long, part int, leaves binary")
+    blocks = scratch.keep(packed, "blocks")
+    right = blocks.join(bounded_broadcast(large.select("turn", "node")), ["turn", "node"], "left_semi").select("turn", "node", F.col("part").alias("part2"), F.col("leaves").alias("right"))
+    work = blocks.withColumnRenamed("leaves", "left")
+    alone = work.select("turn", "left", F.lit(None).cast("binary").alias("right"))
+    among = work.join(right, ["turn", "node"]).where("part < part2").select("turn", "left", "right").repartition(tasks)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for node, part, node2, part2, x, y in zip(*cols, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                u, v = join_subtries(x, None if (node, part) == (node2, part2) else y, depth, max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
+            for turn, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = join_subtries(np.frombuffer(x, np.uint64), None if y is None else np.frombuffer(y, np.uint64), depth, max_bits, equal=equal[turn])
+                yield pa.RecordBatch.from_arrays([pa.array(restored(f, widths, orders[turn]).view(np.int64)) for f in found], ["a", "b"])
 
-    return work.select("node", "part", "node2", "part2", "left", "right").mapInArrow(run, "a long, b long")
+    return alone.repartition(tasks).unionByName(among).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -44,6 +44,7 @@ PENALTIES, FOLDS = (0.03, 0.1, 0.3, 1.0, 3.0), 4
 GRAM_BITS = 20
 THRESHOLD = 0.7
 PREFIXES = range(3, 9)
+HEAD = min(PREFIXES)
 #: Words that a worker remembers the features of.
 CACHE = 200_000
 
@@ -103,10 +104,9 @@ class CharModel:
         return got
 
 
-def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+def lattice(token: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
     """For each run of one character, what it can stand for and the cost of that.  Symbols at the
     edges may also be punctuation, which is dropped at no cost."""
-    out = []
     core = _EDGE.sub("", token)
     first = token.find(core) if core else len(token)
     last = first + len(core)
@@ -123,8 +123,19 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             arcs.append(("", COST["drop"]))
         if spaced:
             arcs += [(" " + s, cost + COST["break"]) for s, cost in arcs]
-        out.append(arcs)
-    return out
+        yield arcs
+
+
+def heads_of(token: str) -> set[str]:
+    """The first characters, ``HEAD`` of them, of all that a token can be read as; shorter readings whole."""
+    out, open_ = set(), {""}
+    for arcs in lattice(token):
+        longer = {h + emit for h in open_ for emit, _ in arcs}
+        out.update(x[:HEAD] for x in longer if len(x) >= HEAD)
+        open_ = {x for x in longer if len(x) < HEAD}
+        if not open_:
+            break
+    return out | open_
 
 
 def _greater(a: tuple, b: tuple) -> bool:
@@ -226,11 +237,21 @@ def as_text(feature) -> str:
 
 class Features(dict):
     """word (bytes) -> the restored words and their prefixes, filled as words come; ``names`` limits them to
-    those of a model."""
+    those of a model, and then a word none of whose readings begins as a name does is not decoded."""
 
     def __init__(self, model: CharModel, names: set[str] | None = None):
         super().__init__()
         self.model, self.names = model, names
+        self.heads = None if names is None else {x.removesuffix("*")[:HEAD] for x in names}
+
+    def _matters(self, token: str) -> bool:
+        if self.heads is None:
+            return True
+        bare = token.rstrip(".,")
+        if bare.isalpha() and len(bare) >= HEAD and bare[0] != bare[1] != bare[2]:
+            return bare[:HEAD] in self.heads  # the only head: a letter doubled later does not change it
+        whole = _PLAIN_EDGE.sub("", token)
+        return bool(_BROKEN.search(whole)) or _EDGE.sub("", token)[:HEAD] in self.heads or not self.heads.isdisjoint(heads_of(whole))
 
     def of(self, word: str) -> tuple:
         out = (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
@@ -239,7 +260,8 @@ class Features(dict):
     def __missing__(self, word: bytes) -> tuple:
         if len(self) > CACHE:
             self.clear()
-        bare = restore(word.decode("utf-8", "replace").lower(), self.model)
+        token = word.decode("utf-8", "replace").lower()
+        bare = restore(token, self.model) if self._matters(token) else ""
         got = self[word] = tuple(x for w in bare.split() for x in self.of(w))
         return got
 

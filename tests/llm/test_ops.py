@@ -112,6 +112,52 @@ def test_simhash_chains_and_clusters(spark, block_rows):
     assert groups({i: got.get(i, i) for i in want}) == groups(want)
 
 
+@pytest.mark.parametrize("max_bits,n,m", [(3, 1000, 4), (3, 2**31, 5), (3, 2**45, 6), (1, 1000, 2), (0, 1000, 1), (5, 1000, 6)])
+def test_simhash_segments(spark, max_bits, n, m):
+    """Reordered bits come back, and any fingerprints within the budget agree at the top of some order."""
+    widths = simhash.segments(n, max_bits)
+    orders = simhash.choices(widths, max_bits)
+    assert sum(widths) == 64 and len(widths) == m and len(orders) == math.comb(m, max_bits)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    from pyspark.sql import functions as F
+
+    for o in orders:
+        got = np.array([r[0] for r in df.select(simhash.reorder(F.col("fp"), widths, o)).collect()], dtype=np.int64).view(np.uint64)
+        assert (simhash.restored(got, widths, o) == x).all()
+        assert sorted(np.bitwise_count(got)) == sorted(np.bitwise_count(x))
+    at = np.cumsum([0, *widths])
+    for _ in range(200):
+        bits = rng.choice(64, max_bits, replace=False)
+        touched = {int(np.searchsorted(at, b, side="right")) - 1 for b in bits}
+        assert any(not touched & set(o[: m - max_bits]) for o in orders)
+
+
+@pytest.mark.parametrize("block_rows", [2, 10**6])
+def test_simhash_links_of_bunched_fingerprints(spark, block_rows):
+    """Fingerprints that differ in a few places only, more of them than a block holds."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 3, dtype=np.uint64)
+    fp = np.unique([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 4))) for b in base for _ in range(40)])
+    d = spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long")
+    from tessera.llm.common import Scratch
+
+    links = simhash.trie_links(d, Scratch(spark), len(fp), 3, block_rows).collect()
+    root = {int(v): int(v) for v in fp.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        p, q = sorted((find(r.a), find(r.b)))
+        root[q] = p
+    want = brute_components([(int(v), int(v) & (2**64 - 1)) for v in fp.view(np.int64)])
+    assert {k: find(k) for k in root} == want
+
+
 def test_simhash_odd(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
@@ -167,6 +213,16 @@ def test_toxicity_restores_plain_disguises():
     assert toxicity.spaced_words(b"what an a s s he was".split(), m) == ["ass"]
 
 
+def test_words_are_skipped_only_where_no_reading_matters(texts):
+    """Limited to a model's names, features are those of all words that are names."""
+    m = char_model(["idiot", "stupid", "moron", "clown", "the", "hello", "as", "loser"])
+    names = {"idi*", "stupid", "stup*", "clown*", "as", "los*", "ounting"}
+    every, some = toxicity.Features(m), toxicity.Features(m, names)
+    tokens = "1d10t idiiot $tupid sstupid stu.p.i.d c.l.o.w.n a$ @s as! iiidiot |oser loooser ((clown)) you.stupid st-upid id i'd 51d10t".encode().split()
+    for w in [*tokens, *{w for t in texts.values() for w in (t or "").encode().split()}]:
+        assert some[w] == tuple(x for x in every[w] if x in names), w
+
+
 def brute_decode(token, model):
     import itertools
 
@@ -581,6 +637,21 @@ def test_line_dedup(docs, odd, texts, sizes):
         assert sorted(map(tuple, got), key=str) == brute_lines(rows)
 
 
+def test_line_dedup_hot_line(spark):
+    """A line of every document, among many tiny shards: only its shard has copies, and no copy has many probes."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import Scratch
+
+    rows = [(i, f"the line that all of them share\nthe line of pair {i // 2}\nown line of document {i}") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = linededup.line_hashes(d).withColumn("shard", F.pmod("h1", F.lit(1000)).cast("int"))
+    hot = linededup.shard_copies(lines, 100).collect()
+    assert len(hot) == 1 and hot[0].copies >= 60
+    got = linededup.decisions(d, Scratch(spark), shard_keys=3, group_probes=100)
+    assert {r.doc_id: len(r.lost) for r in got.collect()} == {i: 1 + i % 2 for i in range(1, 6000)}
+
+
 def test_line_dedup_empty(empty):
     assert linededup.dedup_lines(empty).count() == 0
 
