@@ -1,15 +1,23 @@
-"""Near-duplicates by exact Jaccard likeness of word shingles: a prefix-filtered set join.
-
-A text's set holds the XXH64 (seed 42) of its shingles of ``SHINGLE`` words, lowered as in op 1.  Two
-sets are linked when their Jaccard likeness is at least 4/5.  Under any one order of the hashes two
-such sets share one of their first ``n // 5 + 1`` hashes, so only texts that meet in a prefix are
-compared, and none that is alike is missed.  The order puts hashes that are frequent in a sample
-of the texts last; the sample decides how many texts meet, never which are linked.
-
-Equal sets are one before the join.  A hash's texts are first linked in chains by size; then the
-pairs that still stand in different components are counted and, where their prefixes share enough
-for a likeness of 4/5, compared, so a cluster of near copies costs about its size and not its
-square, unless its members are unlike each other.
+"""SimHash near-duplicates at a likeness of 4/5, confirmed on the shingle sets.
+
+At a Jaccard likeness of 4/5 two fingerprints of 64 bits differ in about ten bits, which is beyond what a trie
+can prune, so SimHash alone cannot give these links.  Here the fingerprints' trie (``simhash``) finds the
+close texts, a prefix filter finds the rest, and every link is confirmed: a text's set holds the XXH64 (seed
+42) of its shingles of ``SHINGLE`` words, lowered as in op 1, and two sets are linked when their Jaccard
+likeness is at least 4/5.
+
+Under any one order of the hashes two such sets share one of their first ``n // 5 + 1`` hashes, so only texts
+that meet in a prefix are compared.  The order puts hashes that are frequent in a sample of the texts last;
+the sample decides how many texts meet, never which are linked.  Links are found in rounds, each between
+texts of different components so far: those of the trie, chains of the texts that meet in a hash, then each
+text with the ``WINDOW`` texts before and behind it in each hash it meets others in.  A hash lists its texts by their
+fingerprints, turned by a number of bits that differs from hash to hash, so alike texts stand together.  So a
+round has at most so many pairs a text and hash, and a large group costs its size, not its square.
+
+What is exact: every link given is one, and texts that are alike and meet in a hash of at most
+``WINDOW + 1`` texts are always compared.  Texts that meet only in hashes of more texts are compared in as
+many turned orders as they share such hashes (44 % of a prefix at least); they are missed only if they are
+``WINDOW`` places apart in all of these and no chain of others joins them.
 
 Edge cases: null, empty and blank texts have the empty set and are linked to each other; a text of
 fewer words than a shingle is one shingle; ids must be unique and not null.
@@ -24,28 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, shuffle_partitions, utf8
-from tessera.llm.simhash import SEED, components
+from tessera.llm.simhash import components, gram_hashes, majority, trie_links
 
 SHINGLE = 5
 #: Texts whose hashes are counted for the order, and hashes that it may put last.
 SAMPLE_ROWS, MAX_FREQUENT = 10_000, 200_000
 #: Rounds of chains: each links texts that meet in the first places of their prefixes, up to this one.
 CHAINS = (0, 3)
-#: Pairs that a task holds before it sends them on.
-PAIRS = 1 << 18
+#: Texts on either side that a text is compared with in a hash.
+WINDOW = 16
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes."""
-    from itertools import repeat
-
-    import xxhash
-
-    w = text.lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*[w[i:] for i in range(shingle)], strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64))
+    return np.unique(gram_hashes(text, shingle))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,7 +73,7 @@ def frequent_hashes(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int) -> DataFrame:
-    """doc_id, key: digest of the set, n: its size, prefix: its first n // 5 + 1 hashes."""
+    """doc_id, key: digest of the set, n: its size, fp: the fingerprint, prefix: its first n // 5 + 1 hashes."""
     import pyarrow as pa
 
     known, times = frequent
@@ -82,9 +82,11 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle:
         import xxhash
 
         for b in batches:
-            keys, sizes, first = [], [], []
+            keys, sizes, first, fps = [], [], [], []
             for t in utf8(b.column(1)):
-                s = shingles(t, shingle)
+                grams = gram_hashes(t, shingle)
+                fps.append(majority(grams))
+                s = np.unique(grams)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 if len(known):
@@ -92,13 +94,13 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle:
                     s = s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")]
                 first.append(s[: len(s) // 5 + 1].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], ["doc_id", "key", "n", "fp", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, fp long, prefix array<long>")
 
 
 def _by_hash(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """``emit`` gets the columns of all rows of some hashes, sorted by hash, size and id, and the bounds of each hash."""
+    """``emit`` gets the columns of all rows of some hashes, sorted by hash, turned fingerprint and id."""
     import pyarrow as pa
 
     names = rows.columns
@@ -109,65 +111,52 @@ def _by_hash(rows: DataFrame, emit, schema: str) -> DataFrame:
             return
         t = pa.Table.from_batches(held)
         c = {k: t.column(k).to_numpy() for k in names}
-        order = np.lexsort((c["id"], c["n"], c["h"]))
-        c = {k: v[order] for k, v in c.items()}
-        edges = np.flatnonzero(np.diff(c["h"])) + 1
-        yield from emit(c, np.concatenate([[0], edges]), np.concatenate([edges, [len(order)]]))
+        turn = (c["h"].view(np.uint64) >> np.uint64(3)) % np.uint64(64)
+        fp = c["fp"].view(np.uint64)
+        turned = (fp << turn) | (fp >> ((np.uint64(64) - turn) % np.uint64(64)))
+        order = np.lexsort((c["id"], turned, c["h"]))
+        yield emit({k: v[order] for k, v in c.items()})
 
     return rows.repartition(max(2, shuffle_partitions(rows.sparkSession)), "h").mapInArrow(run, schema)
 
 
-def _meeting(c: dict, lo: np.ndarray, hi: np.ndarray) -> Iterator:
-    """Rows of hashes that at least two texts hold."""
+_MEETING = "h long, id long, n long, pos long, fp long, crowd long"
+_PAIRS = "a long, b long, met long, crowd long, sizes long, rest long"
+
+
+def _meeting(c: dict):
+    """Rows of hashes that at least two texts hold; crowd: whether they are more than all compared with each other."""
     import pyarrow as pa
 
-    keep = np.repeat(hi - lo > 1, hi - lo)
-    yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("h", "id", "n", "pos")], ["h", "id", "n", "pos"])
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(c["h"])) + 1, [len(c["h"])]])
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    c["crowd"] = (size > WINDOW + 1).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c[k][size > 1]) for k in ("h", "id", "n", "pos", "fp", "crowd")], ["h", "id", "n", "pos", "fp", "crowd"])
 
 
-def _can(c: dict, i, j) -> np.ndarray:
-    """Whether sizes and places of the shared hash leave room for a likeness of 4/5."""
-    n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
-    return 9 * (np.minimum(p, q) + np.minimum(n - p, m - q)) >= 4 * (n + m)
+def _near(c: dict, step: int) -> np.ndarray:
+    """Rows that the row ``step`` places on may be linked with: of the same hash, of another component, and with
+    sizes and places of the shared hash that leave room for a likeness of 4/5."""
+    i = np.flatnonzero((c["h"][step:] == c["h"][:-step]) & (c["root"][step:] != c["root"][:-step]))
+    n, m, p, q = c["n"][i], c["n"][i + step], c["pos"][i], c["pos"][i + step]
+    return i[9 * (np.minimum(p, q) + np.minimum(n - p, m - q)) >= 4 * (n + m)]
 
 
-def _batch(c: dict, i: list, j: list):
-    """Pairs of rows as pairs of ids, with how many hashes they meet in and what both sizes and prefixes say."""
+def _pairs(c: dict, window: int):
+    """Pairs of ids, in how many small hashes they meet, and what else bounds their common hashes: the large ones
+    of the prefix with fewer, and those behind the prefix that ends first."""
     import pyarrow as pa
 
-    i, j = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (i, j))
+    i = [_near(c, s) for s in range(1, window + 1)]
+    j = np.concatenate([x + s for s, x in enumerate(i, 1)])
+    i = np.concatenate(i)
     x, y = c["id"][i], c["id"][j]
-    pairs, at, met = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0, return_index=True, return_counts=True)
-    n, m = c["n"][i[at]], c["n"][j[at]]
-    cols = [*np.ascontiguousarray(pairs.T), met.astype(np.int64), n + m, np.maximum(n - n // 5, m - m // 5) - 1]
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["a", "b", "met", "sizes", "rest"])
-
-
-def _chain(c: dict, lo: np.ndarray, hi: np.ndarray) -> Iterator:
-    """Each text of a hash with the next larger one, if that is of another component."""
-    i = np.flatnonzero((np.diff(c["h"]) == 0) & (np.diff(c["root"]) != 0))
-    i = i[_can(c, i, i + 1)]
-    yield _batch(c, [i], [i + 1])
-
-
-def _across(c: dict, lo: np.ndarray, hi: np.ndarray) -> Iterator:
-    """The pairs of a hash's texts that stand in different components."""
-    root = c["root"]
-    mixed = np.maximum.reduceat(root, lo) != np.minimum.reduceat(root, lo)
-    a, b, held = [], [], 0
-    for s, e in zip(lo[mixed].tolist(), hi[mixed].tolist(), strict=True):
-        top = s + np.searchsorted(c["n"][s:e], c["n"][s:e] * 5 // 4, side="right")
-        for i in range(s, e - 1):
-            j = np.arange(i + 1, top[i - s])
-            j = j[(root[j] != root[i]) & _can(c, i, j)]
-            if len(j):
-                a.append(np.full(len(j), i))
-                b.append(j)
-                held += len(j)
-                if held > PAIRS:
-                    yield _batch(c, a, b)
-                    a, b, held = [], [], 0
-    yield _batch(c, a, b)
+    pairs, at, back = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0, return_index=True, return_inverse=True)
+    met = np.bincount(back.ravel(), weights=1 - c["crowd"][i], minlength=len(pairs)).astype(np.int64)
+    i, j = i[at], j[at]
+    n, m = c["n"][i], c["n"][j]
+    cols = [*np.ascontiguousarray(pairs.T), met, np.minimum(c["crowds"][i], c["crowds"][j]), n + m, np.maximum(n - n // 5, m - m // 5) - 1]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], [f.split()[0] for f in _PAIRS.split(", ")])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,26 +181,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     first = scratch.keep(prefixes(docs, frequent_hashes(docs, docs.count(), shingle), shingle), "prefixes")
     least = scratch.keep(first.groupBy("key").agg(F.min("doc_id").alias("least")), "sets")
     own = first.join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    rows = own.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "n", F.col("pos").cast("long").alias("pos"))
-    meeting = scratch.keep(_by_hash(rows, _meeting, "h long, id long, n long, pos long"), "meeting")
+    rows = own.select(F.col("doc_id").alias("id"), "n", "fp", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "n", F.col("pos").cast("long").alias("pos"), "fp")
+    meeting = scratch.keep(_by_hash(rows, _meeting, _MEETING), "meeting")
+    crowds = scratch.keep(meeting.groupBy("id").agg(F.sum("crowd").alias("crowds")), "crowds")
+
+    # Texts of one fingerprint or of near ones: candidates, as are the links of the trie.
+    by_fp = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("a")), "fingerprints")
+    same = own.join(by_fp, "fp").select("a", F.col("doc_id").alias("b")).where("a <> b")
+    trie = trie_links(by_fp.select("fp"), scratch, by_fp.count()).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    trie = trie.join(by_fp.select(F.col("fp").alias("fa"), "a"), "fa").join(by_fp.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = scratch.keep(same.unionByName(trie).distinct(), "close")
 
     def hashes(batches: Iterator) -> Iterator:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in utf8(b.column(1))], pa.binary())], ["id", "hashes"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(meeting.select("id").distinct(), "id", "left_semi")
+    wanted = meeting.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     sets = scratch.keep(some.mapInArrow(hashes, "id long, hashes binary"), "hashes")
-    schema = "a long, b long, met long, sizes long, rest long"
-    named, links = meeting.withColumn("root", F.col("id")), None
-    for last in CHAINS:
-        more = scratch.keep(confirmed(_by_hash(named.where(F.col("pos") <= last), _chain, schema).select("a", "b").distinct(), sets), "chains")
-        links = more if links is None else links.unionByName(more)
+
+    links = scratch.keep(confirmed(close, sets), "links")
+    for last in (*CHAINS, None):
         groups = components(links, scratch)
-        named = meeting.join(groups, "id", "left").select("h", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-    # A pair meets in all hashes that both prefixes hold; it can share no more than these and the rest
-    # behind the prefix that ends first.
-    pairs = _by_hash(named, _across, schema).groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("sizes").alias("sizes"), F.first("rest").alias("rest"))
-    more = scratch.keep(confirmed(pairs.where("9 * (met + rest) >= 4 * sizes").select("a", "b"), sets), "links")
-    groups = components(links.unionByName(more), scratch)
+        named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(crowds, "id")
+        if last is None:
+            pairs = _by_hash(named, lambda c: _pairs(c, WINDOW), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
+            # A pair can share no more than the small hashes it met in, the large ones, and those behind the prefix.
+            pairs = pairs.where("9 * (met + crowd + rest) >= 4 * sizes").select("a", "b")
+        else:
+            pairs = _by_hash(named.where(F.col("pos") <= last), lambda c: _pairs(c, 1), _PAIRS).select("a", "b").distinct()
+        links = links.unionByName(scratch.keep(confirmed(pairs, sets), "links"))
+    groups = components(links, scratch)
     root = least.join(groups, least.least == groups.id, "left").select("key", F.coalesce("root", "least").alias("component_id"))
     return first.join(root, "key").select("doc_id", "component_id")

@@ -45,21 +45,29 @@ LEAVES = 32
 # --- fingerprints -----------------------------------------------------------------------------
 
 
-def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def gram_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included."""
     from itertools import repeat
 
     import xxhash
 
     w = text.lower().split()
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     grams = map(b" ".join, zip(*[w[i:] for i in range(shingle)], strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    total, ones = 0, np.zeros(64, dtype=np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=">u8")
-    for part in np.array_split(h, len(h) // 65_536 + 1):  # bounds the bit matrix of a very long text
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for part in np.array_split(h.astype(">u8"), len(h) // 65_536 + 1):  # bounds the bit matrix of a very long text
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        total += len(part)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+
+
+def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(gram_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

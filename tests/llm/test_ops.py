@@ -694,16 +694,41 @@ def test_winnowing_choice(spark, docs):
 
 
 def brute_next(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    return [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    order = sorted(rows, key=lambda r: (-(winnow.NO_ID if r[0] is None else r[0]), -r[2], r[1]))
+    return [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t, _) in enumerate(order)]
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
-def test_next_document(docs, odd, ranges):
-    for d in (docs, odd):
-        rows = [(r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect()]
-        got = winnow.next_document(d, winnow.id_bounds(d, ranges)).select("doc_id", "text", "next_text").collect()
-        assert sorted(map(tuple, got), key=str) == sorted(brute_next(rows), key=str)
+@pytest.mark.parametrize("range_rows", [1, 3, 40, 10**6])
+def test_next_document(spark, docs, odd, range_rows):
+    """Unique ids, odd rows, one id and the null id in many rows."""
+    from pyspark.sql import functions as F
+
+    many = spark.createDataFrame([(7 if i % 2 else None, f"text {i % 30}") for i in range(80)] + [(i, "x") for i in range(-3, 9)], "doc_id long, text string")
+    for d in (docs, odd, many):
+        rows = [tuple(r) for r in d.select("doc_id", F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+        for most in (4, 10**6):
+            got = winnow.next_document(d, winnow.id_bounds(d, len(rows), range_rows, most)).select("doc_id", "text", "next_text").collect()
+            assert sorted(map(tuple, got), key=str) == sorted(brute_next(rows), key=str)
+
+
+def test_ranges_divide_a_hot_id(spark):
+    d = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(i, "x") for i in range(50)], "doc_id long, text string")
+    bounds = winnow.id_bounds(d, 450, 20)
+    assert len(bounds) > 15 and sum(i == winnow.NO_ID for i, _ in bounds) > 12
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
+def test_run_hashes_are_polynomials(spark, k):
+    from pyspark.sql import functions as F
+
+    rows = [(0, "a b c d e f g h i j k"), (1, "a"), (2, ""), (3, "b a"), (4, "c d e f g h i j k l m n o p")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    word = {r[0]: r[1] % winnow.PRIME for r in spark.createDataFrame([(w,) for w in "abcdefghijklmnop"], "w string").select("w", F.xxhash64("w")).collect()}
+    got = winnow.add_fingerprint(d, F.col("text"), "fp", k, 1).select("text", F.transform("fp", lambda x: F.shiftright(x, 31)).alias("h"))
+    for r in got.collect():
+        h = [word[w] for w in r.text.split()]
+        runs = [(h[i : i + k] + [0] * k)[:k] for i in range(max(min(1, len(h)), len(h) - k + 1))]
+        assert list(r.h) == [sum(x * winnow.BASE ** (k - 1 - j) for j, x in enumerate(run)) % winnow.PRIME for run in runs]
 
 
 def test_winnow_query(spark, sf, texts):
@@ -718,6 +743,27 @@ def test_winnow_query(spark, sf, texts):
     assert np.mean([r.near_edited for r in got.values()]) > 3 * np.mean([r.near_next for r in got.values()])
 
 
+def test_winnow_strings_and_likeness(spark, sf, texts):
+    """Fingerprint strings and likeness against sets of the winnowed run hashes of both texts."""
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in Q.op9_winnowing_fingerprints(spark, sf).collect()}
+    ids = sorted(texts, reverse=True)
+    full = {}
+    every = spark.createDataFrame([(i, texts[i], texts[ids[(k + 1) % len(ids)]]) for k, i in enumerate(ids)], "doc_id long, text string, nxt string")
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - third), F.substring("nxt", F.lit(1), third))
+    d = winnow.add_fingerprint(winnow.add_fingerprint(every.withColumn("edited", edited), F.col("text"), "a", winnow.K, 1), F.col("edited"), "b", winnow.K, 1)
+    for r in d.select("doc_id", *[F.transform(c, lambda x: F.shiftright(x, 31)).alias(c) for c in ("a", "b")]).collect():
+        full[r.doc_id] = [(list(h), brute_winnow(list(h), winnow.WINDOW)) for h in (r.a, r.b)]
+    like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
+    sets = {i: [{h[j] for j in at} for h, at in v] for i, v in full.items()}
+    for k, i in enumerate(ids):
+        (h, at), (he, ate) = full[i]
+        assert got[i].fingerprint == ",".join(f"{h[j]:X}@{j:X}" for j in at) and got[i].edited_fingerprint == ",".join(f"{he[j]:X}@{j:X}" for j in ate)
+        assert got[i].near_edited == pytest.approx(like(*sets[i])) and got[i].near_next == pytest.approx(like(sets[i][0], sets[ids[(k + 1) % len(ids)]][0]))
+
+
 def test_winnow_short_edited_texts(spark):
     """Texts whose unchanged part holds 8 whole words stay alike; two thirds of 13 words do."""
     rng = np.random.default_rng(9)
@@ -733,7 +779,9 @@ def test_winnow_odd(spark, odd, empty):
     assert by[1] == by[2] == by[3] == "" and by[7] == by[8] != ""
     assert winnow.fingerprint_documents(empty).count() == 0
     null = spark.createDataFrame([(None, "a b c"), (None, "d e f")], "doc_id long, text string")
-    assert winnow.fingerprint_documents(null).count() == 2
+    assert {r.edited_sha256 for r in winnow.fingerprint_documents(null).collect()} == {hashlib.sha256(t).hexdigest() for t in (b"a b d", b"d e a")}
+    pair = winnow.next_document(null, winnow.id_bounds(null, 2)).collect()
+    assert {(r.text, r.next_text) for r in pair} == {("a b c", "d e f"), ("d e f", "a b c")}
 
 
 # --- 10 -----------------------------------------------------------------------------------------
