@@ -235,6 +235,19 @@ def as_text(feature) -> str:
     return feature if isinstance(feature, str) else f"{feature[0]} #{feature[1]}" if feature[1] else f"{feature[0]} %{feature[2]}"
 
 
+class Openings(dict):
+    """First letters of a word of ASCII letters -> whether the word may matter: it begins as a name does, or a
+    letter is doubled, so that it has several readings."""
+
+    def __init__(self, heads: set[str]):
+        super().__init__()
+        self.heads = heads
+
+    def __missing__(self, p: bytes) -> bool:
+        got = self[p] = len(p) < HEAD or any(a == b for a, b in zip(p, p[1:])) or p.decode() in self.heads  # noqa: B905
+        return got
+
+
 class Features(dict):
     """word (bytes) -> the restored words and their prefixes, filled as words come; ``names`` limits them to
     those of a model, and then a word none of whose readings begins as a name does is not decoded."""
@@ -243,6 +256,7 @@ class Features(dict):
         super().__init__()
         self.model, self.names = model, names
         self.heads = None if names is None else {x.removesuffix("*")[:HEAD] for x in names}
+        self.openings = None if names is None else Openings(self.heads)
 
     def _matters(self, token: str) -> bool:
         if self.heads is None:
@@ -268,7 +282,10 @@ class Features(dict):
     def document(self, text: bytes) -> set:
         words = text.split()
         count: Counter = Counter()
-        hits = [w for w in set(words) if self[w]]
+        distinct = set(words)
+        if (may := self.openings) is not None:  # most words, at little cost
+            distinct = [w for w in distinct if not (v := w.rstrip(b".,")).isalpha() or may[v[:HEAD].lower()]]
+        hits = [w for w in distinct if self[w]]
         times = Counter(words) if len(hits) > 8 else {w: words.count(w) for w in hits}
         for w in hits:
             for f in self[w]:

@@ -221,6 +221,9 @@ def test_words_are_skipped_only_where_no_reading_matters(texts):
     tokens = "1d10t idiiot $tupid sstupid stu.p.i.d c.l.o.w.n a$ @s as! iiidiot |oser loooser ((clown)) you.stupid st-upid id i'd 51d10t".encode().split()
     for w in [*tokens, *{w for t in texts.values() for w in (t or "").encode().split()}]:
         assert some[w] == tuple(x for x in every[w] if x in names), w
+    name_of = lambda f: f if isinstance(f, str) else f[0]
+    for t in [b" ".join(tokens), *((t or "").encode() for t in texts.values())]:
+        assert some.document(t) == {f for f in every.document(t) if name_of(f) in names}
 
 
 def brute_decode(token, model):
