@@ -37,10 +37,10 @@ from tessera.llm.simhash import components, gram_hashes, majority, trie_links
 SHINGLE = 5
 #: Texts whose hashes are counted for the order, and hashes that it may put last.
 SAMPLE_ROWS, MAX_FREQUENT = 10_000, 200_000
-#: Rounds of chains: each links texts that meet in the first places of their prefixes, up to this one.
-CHAINS = (0, 3)
+#: The round of chains links texts that meet in the first places of their prefixes, up to this one.
+CHAIN = 3
 #: Texts on either side that a text is compared with in a hash.
-WINDOW = 16
+WINDOW = 8
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     sets = scratch.keep(some.mapInArrow(hashes, "id long, hashes binary"), "hashes")
 
     links = scratch.keep(confirmed(close, sets), "links")
-    for last in (*CHAINS, None):
+    for last in (CHAIN, None):
         groups = components(links, scratch)
         named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(crowds, "id")
         if last is None:
