@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import margin
 from tessera.functions.vectors import segment_fields, sq_dist
-from tessera.operators.neighbors import DECIMALS, small
+from tessera.operators.neighbors import DECIMALS, every_with, small
 
 
 def with_ends(edge: DataFrame, vertex: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def object_distances(points: DataFrame, vertex: DataFrame, segment: DataFrame) -
     zero = F.lit(None).cast("array<double>")
     objects = vertex.select(F.col("label").alias("cls"), F.lit(0).alias("kind"), F.col("vid").alias("id"), F.col("v").alias("u"), zero.alias("w"))
     objects = objects.unionByName(segment.select(F.col("label").alias("cls"), F.lit(1).alias("kind"), F.col("eid").alias("id"), "u", F.col("v").alias("w")))
-    pairs = points.crossJoin(small(objects))
+    pairs = every_with(points, objects, "u")
     d, t = segment_fields(F.col("x"), F.col("u"), F.col("w"))
     at = F.when(F.col("kind") == 0, F.struct(F.sqrt(sq_dist(F.col("x"), F.col("u"))).alias("d"), F.lit(0.0).alias("t"))).otherwise(F.struct(d.alias("d"), t.alias("t")))
     return pairs.withColumn("_at", at).select(*points.columns, "cls", "kind", "id", F.round("_at.d", DECIMALS).alias("d"), F.col("_at.t").alias("t")).drop("x")
@@ -87,7 +87,7 @@ def variant_risk(points: DataFrame, base: DataFrame, variants: DataFrame) -> Dat
     variants(variant, cls, kind, id, u, w): the objects that a variant's class is left with, all
     variants priced in one pass; base(row_id, label, cls, d): the class distances as they are.
     """
-    pairs = points.crossJoin(small(variants))
+    pairs = every_with(points, variants, "u")
     d, _ = segment_fields(F.col("x"), F.col("u"), F.col("w"))
     dist = F.when(F.col("kind") == 0, F.sqrt(sq_dist(F.col("x"), F.col("u")))).otherwise(d)
     own = pairs.groupBy("variant", "cls", "row_id", "label").agg(F.min(F.round(dist, DECIMALS)).alias("own"))

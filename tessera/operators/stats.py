@@ -1,7 +1,7 @@
 """Rank statistics over a score table (block, treatment, score), all in SQL expressions.
 
-Tails are closed forms: chi-square on the driver for one row; Student's t, for even degrees of
-freedom, as a folded sum; the exact signed-rank distribution by subset sums.  Tables here have a row per block and treatment.
+Tails are closed forms: chi-square on the driver for one row; Student's t as a folded sum; the exact
+signed-rank distribution by subset sums.  Tables here have a row per block and treatment.
 """
 
 from __future__ import annotations
@@ -72,17 +72,24 @@ def friedman(scores: DataFrame) -> DataFrame:
     d = top.crossJoin(n).crossJoin(ties)
     k, m = F.col("k"), F.col("n")
     chi2 = (12 / (m * k * (k + 1)) * F.col("S") - 3 * m * (k + 1)) / (1 - F.col("ties") / (m * k * (k * k - 1)))
-    return d.select("n", "k", chi2.alias("chi2"), (k - 1).alias("df"))
+    row = d.select("n", "k", chi2.alias("chi2"), (k - 1).alias("df")).first()
+    p = None if row.chi2 is None else chi2_tail(row.chi2, row.df)
+    return scores.sparkSession.createDataFrame([(*row, p)], "n long, k long, chi2 double, df long, p double")
 
 
 def student_tail(t: Column, df: Column) -> Column:
-    """Two-sided tail for even degrees of freedom: a finite sum in cos^2, built by a fold."""
+    """Two-sided tail for any whole degrees of freedom: a finite sum in cos^2, built by a fold.  Odd
+    degrees add the angle itself and start the sum at cos; one degree has no sum."""
     theta = F.atan(t / F.sqrt(df.cast("double")))
-    c2 = F.cos(theta) * F.cos(theta)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    steps = F.when(df > 2, F.sequence(F.lit(1), ((df - 2) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    add = lambda a, i: F.struct((a["term"] * c2 * (2 * i - 1) / (2 * i)).alias("term"), (a["sum"] + a["term"] * c2 * (2 * i - 1) / (2 * i)).alias("sum"))
-    return 1 - F.sin(theta) * F.aggregate(steps, start, add)["sum"]
+    odd = df % 2 == 1
+    c, c2 = F.cos(theta), F.cos(theta) * F.cos(theta)
+    first = F.when(df == 1, F.lit(0.0)).when(odd, c).otherwise(F.lit(1.0))
+    n = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    steps = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    ratio = lambda i: c2 * F.when(odd, (2 * i) / (2 * i + 1)).otherwise((2 * i - 1) / (2 * i))
+    add = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum"))
+    total = F.sin(theta) * F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), add)["sum"]
+    return F.greatest(F.lit(0.0), 1 - F.when(odd, (theta + total) * (2 / math.pi)).otherwise(total))
 
 
 def conover(scores: DataFrame, control: str) -> DataFrame:

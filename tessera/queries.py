@@ -623,14 +623,26 @@ def noise_reassignment(spark, sf):
     return m.where("row_id % 7 = 0").join(N.small(core), ["label", "slab"]).groupBy("label", "slab", "row_id").agg(best).select("label", "slab", "row_id", F.col("m.c").alias("cluster"))
 
 
-@query()
+_PC1 = P4 + """, mu AS (SELECT [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS m FROM p),
+cov AS (SELECT i, j, avg(x[i] * x[j]) - any_value(m[i] * m[j]) AS c FROM p, mu, range(1, 5) a(i), range(1, 5) b(j) GROUP BY 1, 2),
+pw(k, a) AS (SELECT 0, list(c ORDER BY i, j) FROM cov UNION ALL
+  SELECT k + 1, list_transform(sq, lambda v: v / list_max(list_transform(sq, lambda z: abs(z)))) FROM (SELECT k, list_transform(range(0, 16), lambda q: a[(q // 4) * 4 + 1] * a[q % 4 + 1] + a[(q // 4) * 4 + 2] * a[q % 4 + 5] + a[(q // 4) * 4 + 3] * a[q % 4 + 9] + a[(q // 4) * 4 + 4] * a[q % 4 + 13]) AS sq FROM pw WHERE k < 24)),
+col AS (SELECT list_transform(range(0, 4), lambda q: a[q * 4 + 1]) AS c1, list_transform(range(0, 4), lambda q: a[q * 4 + 2]) AS c2, list_transform(range(0, 4), lambda q: a[q * 4 + 3]) AS c3, list_transform(range(0, 4), lambda q: a[q * 4 + 4]) AS c4 FROM pw WHERE k = 24),
+big AS (SELECT arg_max(c, n) AS c, max(n) AS n FROM (SELECT c, sqrt(list_dot_product(c, c)) AS n FROM (SELECT unnest([c1, c2, c3, c4]) AS c FROM col))),
+axis0 AS (SELECT list_transform(c, lambda v: v / n) AS u FROM big),
+axis AS (SELECT list_transform(u, lambda v: v * CASE WHEN list_min(u) < -list_max(u) THEN -1 ELSE 1 END) AS u FROM axis0),
+f0 AS (SELECT row_id, list_dot_product(x, u) - list_dot_product(m, u) AS f FROM p, mu, axis),
+sg AS (SELECT CASE WHEN f < 0 THEN -1 ELSE 1 END AS s FROM f0 ORDER BY round(abs(f), 9) DESC, row_id LIMIT 1)"""
+
+
+@query(f"WITH RECURSIVE {_PC1} SELECT row_id, round(f * s, 6) + 0.0 AS f FROM f0, sg")
 def pc1_lens(spark, sf):
     return rounded(C.pc1_lens(points(spark, sf, 4), 4).select("row_id", "f"), "f")
 
 
 # --- statistics -------------------------------------------------------------------------------
 
-SCORES = "s AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS block, l_returnflag || l_linestatus || (l_linenumber % 2) AS treatment, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 100)::DOUBLE AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), k AS (SELECT count(DISTINCT treatment) AS k FROM s), b AS (SELECT block FROM s GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), c AS (SELECT s.* FROM s JOIN b ON s.block = b.block)"
+SCORES = "s AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS block, l_returnflag || l_linestatus || (l_linenumber % 2) AS treatment, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 100)::DOUBLE AS score FROM lineitem GROUP BY 1, 2), k AS (SELECT count(DISTINCT treatment) AS k FROM s), b AS (SELECT block FROM s GROUP BY 1 HAVING count(*) = (SELECT k FROM k)), c AS (SELECT s.* FROM s JOIN b ON s.block = b.block)"
 
 
 def mean_price():
@@ -642,7 +654,7 @@ def all_scores(spark, sf) -> DataFrame:
     """Score table (block, treatment, score): months by flag and parity."""
     block = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("block")
     t = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("treatment")
-    return read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(block, t).agg(mean_price().alias("score"))
+    return read(spark, sf, "lineitem").groupBy(block, t).agg(mean_price().alias("score"))
 
 
 def scores(spark, sf) -> DataFrame:
@@ -670,12 +682,26 @@ _FRIEDMAN = _RANKED + """, R AS (SELECT treatment, sum(r) AS rs, sum(r * r) AS a
 g AS (SELECT sum(rs * rs) AS S, sum(a) AS A, count(*) AS k, max(n.n) AS n, max(t.ties) AS ties FROM R, n, t)""".replace(", R AS", ", rsum AS").replace("FROM R, n, t", "FROM rsum, n, t")
 
 
-@query(f"WITH {_FRIEDMAN} SELECT n::BIGINT AS n, k::BIGINT AS k, round((12.0 / (n * k * (k + 1)) * S - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi2, (k - 1)::BIGINT AS df FROM g")
+_CHI2 = _FRIEDMAN + """, f AS (SELECT n, k, (12.0 / (n * k * (k + 1)) * S - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS chi2, (k - 1) AS df FROM g),
+series(i, term, total) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, term * (chi2 / 2) / (df / 2.0 + i + 1), total + term * (chi2 / 2) / (df / 2.0 + i + 1) FROM series, f WHERE i < 600),
+tail AS (SELECT greatest(0.0, 1 - exp(df / 2.0 * ln(chi2 / 2) - chi2 / 2 - lgamma(df / 2.0 + 1)) * (SELECT max(total) FROM series)) AS p FROM f)"""
+
+
+@query(f"WITH RECURSIVE {_CHI2} SELECT n::BIGINT AS n, k::BIGINT AS k, round(chi2, 6) AS chi2, df::BIGINT AS df, round(p, 6) + 0.0 AS p FROM f, tail")
 def friedman(spark, sf):
-    return rounded(T.friedman(scores(spark, sf)), "chi2")
+    return rounded(T.friedman(scores(spark, sf)), "chi2", "p")
 
 
-@query()
+_CONOVER = _FRIEDMAN + """, tt AS (SELECT treatment, abs(rs - (SELECT rs FROM rsum ORDER BY treatment LIMIT 1)) / sqrt(2 * (n * g.A - S) / ((n - 1) * (k - 1))) AS t, ((n - 1) * (k - 1))::BIGINT AS df FROM rsum, g WHERE treatment <> (SELECT min(treatment) FROM rsum)),
+th AS (SELECT *, atan(t / sqrt(df)) AS theta, df % 2 = 1 AS odd, CASE WHEN df = 1 THEN 0.0 WHEN df % 2 = 1 THEN cos(atan(t / sqrt(df))) ELSE 1.0 END AS first FROM tt),
+fold(treatment, i, term, total) AS (SELECT treatment, 0::BIGINT, first, first FROM th UNION ALL
+  SELECT fold.treatment, i + 1, term * x, total + term * x FROM (SELECT fold.*, cos(theta) * cos(theta) * CASE WHEN odd THEN 2 * (i + 1) / (2 * (i + 1) + 1)::DOUBLE ELSE (2 * (i + 1) - 1) / (2 * (i + 1))::DOUBLE END AS x
+    FROM fold JOIN th ON fold.treatment = th.treatment WHERE i < (df - CASE WHEN odd THEN 3 ELSE 2 END) // 2) fold),
+cp AS (SELECT th.treatment, t, df, greatest(0.0, 1 - CASE WHEN odd THEN (theta + sin(theta) * s.total) * 2 / pi() ELSE sin(theta) * s.total END) AS p FROM th JOIN (SELECT treatment, arg_max(total, i) AS total FROM fold GROUP BY 1) s ON s.treatment = th.treatment),
+ch AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, treatment) AS i FROM cp)"""
+
+
+@query(f"WITH RECURSIVE {_CONOVER} SELECT treatment, round(t, 6) AS t, df, round(p, 6) + 0.0 AS p_raw, round(least(1.0, max((m - i + 1) * p) OVER (ORDER BY p, treatment ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_holm FROM ch")
 def conover(spark, sf):
     s = scores(spark, sf)
     control = s.agg(F.min("treatment")).first()[0]
@@ -702,7 +728,16 @@ def signed_rank(spark, sf):
     return wilcoxon_exact(spark, sf).select("treatment", "w", "m")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DELTA}, r AS (SELECT treatment, d, rank() OVER (PARTITION BY treatment ORDER BY abs(d)) + (count(*) OVER (PARTITION BY treatment, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+w AS (SELECT treatment, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, count(*) AS m, count(DISTINCT abs(d)) < count(*) AS equal_magnitudes FROM r GROUP BY 1),
+top AS (SELECT max(m) AS m FROM w),
+sums(i, c) AS (SELECT 0::BIGINT, list_transform(range(0, m * (m + 1) // 2 + 1), lambda x: CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM top
+  UNION ALL SELECT i + 1, list_transform(range(0, len(c)), lambda x: c[x + 1] + CASE WHEN x >= i + 1 THEN c[x - i] ELSE 0.0::DOUBLE END) FROM sums, top WHERE i < m),
+p AS (SELECT treatment, w, m, equal_magnitudes, least(1.0, 2 * list_sum(c[1 : floor(w)::BIGINT + 1]) / pow(2.0, m)) AS p_raw FROM w JOIN sums ON sums.i = w.m),
+a AS (SELECT treatment, count(*) FILTER (WHERE d > 0)::BIGINT AS wins, count(*) FILTER (WHERE d < 0)::BIGINT AS losses, count(*) FILTER (WHERE d = 0)::BIGINT AS ties, avg(d) AS mean_delta, quantile_cont(d, 0.5) AS median_delta FROM d GROUP BY 1),
+h AS (SELECT a.*, p.w, p.m, p.equal_magnitudes, coalesce(p.p_raw, 1.0) AS p_raw, count(*) OVER () AS k, row_number() OVER (ORDER BY coalesce(p.p_raw, 1.0), a.treatment) AS i FROM a LEFT JOIN p ON a.treatment = p.treatment)
+SELECT treatment, wins, losses, ties, round(mean_delta, 6) + 0.0 AS mean_delta, round(median_delta, 6) + 0.0 AS median_delta, round(w, 6) + 0.0 AS w, m::BIGINT AS m, round(p_raw, 6) + 0.0 AS p_raw, equal_magnitudes,
+  round(least(1.0, max((k - i + 1) * p_raw) OVER (ORDER BY p_raw, treatment ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_holm FROM h""")
 def wilcoxon_exact(spark, sf):
     s = scores(spark, sf)
     control = s.agg(F.min("treatment")).first()[0]
@@ -787,10 +822,10 @@ def calibration_medians(spark, sf):
 
 def _learn(method: str, total: int = 60, **options) -> Query:
     def f(spark, sf):
-        return R.reduce(points(spark, sf, 8).where("label < 4"), method, total, seed=SEED, **options)
+        return R.reduce(points(spark, sf), method, total, seed=SEED, **options)
 
     f.__name__ = f"{method.lower()}_prototypes"
-    f.__doc__ = f"Prototypes of four labels by the reducer {method}."
+    f.__doc__ = f"Prototypes of all labelled vectors by the reducer {method}."
     return query()(f)
 
 
@@ -813,7 +848,7 @@ def campaign(spark, sf):
 
 @query()
 def budget_curve(spark, sf):
-    rows = K.run_campaign(_campaign_rows(spark, sf), 5, methods=("KMeans", "Random", "SPOT", "GNG", "Skeleton"), folds=[0, 1], budgets=[0.1, 0.2])
+    rows = K.run_campaign(_campaign_rows(spark, sf), 5, methods=("KMeans", "Random", "SPOT", "GNG", "Skeleton"), budgets=[0.1, 0.2])
     return K.curve_means(rows)
 
 
@@ -869,7 +904,7 @@ def classifier_scores(spark, sf):
 def timing_study(spark, sf):
     from tessera.plans.battery import timing_means
 
-    return timing_means(K.run_campaign(_campaign_rows(spark, sf), 5, folds=[0, 1]))
+    return timing_means(K.run_campaign(_campaign_rows(spark, sf), 5))
 
 
 @query()
@@ -934,7 +969,7 @@ def ranked_methods(spark, sf):
     return d.where(~F.col("method").isin("Brand#11", "Brand#55")).groupBy("dataset", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PC1} SELECT round(u[1] * s, 6) + 0.0 AS c0, round(u[2] * s, 6) + 0.0 AS c1, round(u[3] * s, 6) + 0.0 AS c2, round(u[4] * s, 6) + 0.0 AS c3, round(-list_dot_product(m, u) * s, 6) + 0.0 AS intercept, true AS exact FROM axis, mu, sg""")
 def affine_recovery(spark, sf):
     """The first lens of the vectors as an affine function of their entries: coefficients and the largest residual."""
     d = C.pc1_lens(points(spark, sf, 4), 4).select("f", *[F.col("x")[i].alias(f"x{i}") for i in range(4)])
@@ -950,7 +985,7 @@ def lvq3_tune(spark, sf):
     import numpy as np
     import pandas as pd
 
-    d = _campaign_rows(spark, sf).withColumn("_f", F.explode(F.array(F.lit(0), F.lit(1)))).where("fold <> _f")
+    d = _campaign_rows(spark, sf).withColumn("_f", F.explode(F.array(*map(F.lit, range(5))))).where("fold <> _f")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")

@@ -128,6 +128,29 @@ def test_published_wilcoxon_and_conover(golden):
     assert c["Random"] < 1e-6 and c["LVQ3"] == pytest.approx(0.63, abs=0.05) and c["RSP3"] == pytest.approx(0.0012, rel=0.2)
 
 
+@pytest.mark.parametrize("df,t,want", [(1, 1.0, 0.5), (1, 12.706, 0.05), (2, 4.303, 0.05), (3, 3.182, 0.05), (5, 2.0, 0.101939), (5, 2.571, 0.05), (21, 2.5, 0.020780), (27, 2.052, 0.05), (28, 2.048, 0.05), (7, 0.0, 1.0)])
+def test_student_tail(spark, df, t, want):
+    """Two-sided tails of Student's t at odd and even degrees of freedom: published critical values."""
+    got = spark.range(1).select(T.student_tail(F.lit(t), F.lit(df).cast("long")).alias("p")).first().p
+    assert got == pytest.approx(want, abs=5e-5)
+
+
+def test_friedman_has_its_p(golden):
+    f = T.friedman(golden).first()
+    assert f.p == pytest.approx(T.chi2_tail(f.chi2, 7)) and f.p < 1e-6
+
+
+def test_a_large_model_is_refused(spark, monkeypatch):
+    from tessera.operators import neighbors as N
+
+    p = spark.range(30).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
+    assert N.eccentricity(p).count() == 30
+    monkeypatch.setattr(N, "MODEL_ROWS", 20)
+    for f in (N.eccentricity, N.farthest_pair, N.facility_gains):
+        with pytest.raises(ValueError, match="over the bound"):
+            f(p)
+
+
 @pytest.mark.parametrize("p,want", [([0.01, 0.02, 0.03, 0.04], [0.04, 0.06, 0.06, 0.06]), ([0.5, 0.6, 0.7], [1.0, 1.0, 1.0]), ([0.001, 0.9], [0.002, 0.9])])
 def test_holm_by_hand(spark, p, want):
     df = spark.createDataFrame(list(enumerate(p)), "id int, p double")
