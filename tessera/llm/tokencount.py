@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import utf8
 
 WORD_START = "▁"
-#: Pre-tokens whose counts a worker remembers.
-CACHE = 400_000
+#: Pre-tokens whose counts a worker remembers from batch to batch, and the longest of them in bytes.
+CACHE, LONGEST = 400_000, 64
 
 
 def vocabulary_path() -> str:
@@ -107,5 +107,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(map(known.__getitem__, t)) for t in texts], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"]
             )
+            for w in [w for w in new if len(w) > LONGEST]:
+                del known[w]
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

@@ -328,6 +328,34 @@ def test_secret_links():
     assert [x[2] for x in secrets.scan("AKIA" + "A" * 12 + " and " + weak)[1]] == ["secret"]
 
 
+def brute_linked(text, strong, weak, reach):
+    """The interval join over all pairs of parts."""
+    breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+    scope = lambda s: sum(b <= s for b in breaks)
+    need = {"secret": ("ident", "endpoint"), "ident": ("secret",), "endpoint": ("secret",)}
+    out = []
+    for s, e, k in weak:
+        for s2, e2, k2 in {*strong, *weak}:
+            if secrets.ROLE[k2] in need[k] and scope(s) == scope(s2) and s2 <= e + reach and e2 >= s - reach:
+                out.append((s, e, k))
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_secret_links_are_the_interval_join(seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["user = alice", "login: bob77", "host: db.example.com:5432", "postgres://h.example/x", "Zk3Qp9Lm2Xv8Rt5Yb1Nc7W", "AKIA" + "B2" * 8, "password = hunter2hunter2", "0a1b2c3d" * 5, "\n\n", "\n \n", "plain words here", "account_id=acme"]
+    for _ in range(30):
+        text = " ".join(rng.choice(parts) + " x" * rng.randrange(0, 60) for _ in range(rng.randrange(1, 14)))
+        reach = rng.choice([0, 10, 60, 400])
+        strong = secrets.base_spans(text, text.lower())
+        weak = secrets.weak_parts(text, text.lower(), strong)
+        assert secrets.linked(text, strong, weak, reach) == brute_linked(text, strong, weak, reach)
+
+
 def test_secret_odd(odd, empty):
     got = secrets.scan_documents(odd).collect()
     assert len(got) == len(ODD) and [r.n_assign for r in got if r.doc_id == 9] == [1, 1]
@@ -558,6 +586,30 @@ def test_quality_ratio(spark, docs, labels):
         assert ratios[b] == pytest.approx(math.log((y + 1) / (target + 64)) - math.log((x + 1) / (raw + 64)))
 
 
+def test_quality_verdicts(spark, sf, docs, labels, texts):
+    """Scores and verdicts against multinomials over the same bins, counted by hand."""
+    from pyspark.sql import functions as F
+
+    words_ = sorted({w for t in texts.values() for w in WORD.findall(t or "")})
+    h = dict(spark.createDataFrame([(w,) for w in words_], "w string").select("w", F.xxhash64("w")).collect())
+    pairs = sorted({(h[a], h[b]) for t in texts.values() for w in [WORD.findall(t or "")] for a, b in zip(w, w[1:], strict=False)})
+    h2 = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    bins = {}
+    for i, t in texts.items():
+        w = [h[x] for x in WORD.findall(t or "")]
+        bins[i] = [x % quality.BUCKETS for x in [*w, *(h2[p] for p in zip(w, w[1:], strict=False))]]
+    raw = Counter(b for v in bins.values() for b in v)
+    target = Counter(b for i, v in bins.items() if i in trusted for b in v)
+    ratio = lambda b: math.log((target[b] + 1) / (target.total() + quality.BUCKETS)) - math.log((raw[b] + 1) / (raw.total() + quality.BUCKETS))
+    for r in quality.quality_rules(docs, labels.where("quality = 1").select("doc_id")).collect():
+        want = sum(map(ratio, bins[r.doc_id])) / len(bins[r.doc_id]) if bins[r.doc_id] else 0.0
+        assert r.score == pytest.approx(want)
+        n, _, _, _, repeated = brute_rules(texts[r.doc_id])
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert r.base_failed == failed and r.kept == (not failed and r.score >= quality.MIN_SCORE)
+
+
 def test_quality_odd(spark, odd, empty, labels):
     none = labels.where("false").select("doc_id")
     got = quality.quality_rules(odd, none).collect()
@@ -608,6 +660,29 @@ def test_token_counts_brute():
     assert m.counts(words) == {w: best(w)[1] for w in words}
 
 
+def test_token_counts_query(spark, sf, texts):
+    """The whole query against the segmentations of each word by themselves."""
+    m = tokencount.Unigram.load(tokencount.vocabulary_path())
+    memo = {}
+
+    def length(w):
+        if w not in memo:
+            best = [(0.0, 0)]
+            for end in range(1, len(w) + 1):
+                ways = [(best[i][0] + m.score[w[i:end]], -best[i][1] - 1) for i in range(end) if w[i:end] in m.score]
+                if w[end - 1] not in m.score:
+                    n = len(w[end - 1].encode())
+                    ways.append((best[end - 1][0] + n * m.byte, -best[end - 1][1] - n))
+                s, k = max(ways)
+                best.append((s, -k))
+            memo[w] = best[-1][1]
+        return memo[w]
+
+    for r in Q.op7_token_counts(spark, sf).collect():
+        w = WORD.findall(texts[r.doc_id] or "")
+        assert (r.n_pretokens, r.n_tokens) == (len(w), sum(length(tokencount.WORD_START + x) for x in w))
+
+
 def test_token_counts_odd(odd, empty):
     got = tokencount.count_tokens(odd).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {0}
