@@ -550,7 +550,12 @@ def vertex_removal(spark, sf):
     return H.remove_vertex(v, e, first)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {P4}, q AS (SELECT row_id, x FROM p WHERE label = 0), nr AS (SELECT a.row_id AS a, arg_min(b.row_id, ({D2.format(a="a.x", b="b.x")}, b.row_id)) AS b FROM q a JOIN q b ON a.row_id <> b.row_id GROUP BY 1),
+bw AS (SELECT a, b FROM nr UNION SELECT b, a FROM nr), reach AS (SELECT row_id AS vid, row_id AS r FROM q UNION SELECT bw.b, reach.r FROM reach JOIN bw ON reach.vid = bw.a), comp AS (SELECT vid, min(r) AS comp FROM reach GROUP BY 1),
+pr AS (SELECT a.row_id AS a, b.row_id AS b, ca.comp AS ca, cb.comp AS cb, {D2.format(a="a.x", b="b.x")} AS d2 FROM q a JOIN q b ON a.row_id <> b.row_id JOIN comp ca ON ca.vid = a.row_id JOIN comp cb ON cb.vid = b.row_id WHERE ca.comp <> cb.comp),
+grow(merged, m) AS (SELECT [min(comp)], NULL::STRUCT(d2 DOUBLE, a BIGINT, b BIGINT, comp BIGINT) FROM comp
+  UNION ALL SELECT list_append(any_value(merged), min({{'d2': d2, 'a': a, 'b': b, 'comp': cb}}).comp), min({{'d2': d2, 'a': a, 'b': b, 'comp': cb}}) FROM grow JOIN pr ON list_contains(merged, ca) AND NOT list_contains(merged, cb) HAVING count(*) > 0)
+SELECT m.a AS a, m.b AS b, round(m.d2, 6) + 0.0 AS d2 FROM grow WHERE m IS NOT NULL""")
 def component_bridges(spark, sf):
     p = points(spark, sf, 4).where("label = 0")
     return rounded(H.bridges(p.select("row_id", "x"), N.knn_graph(p.select("row_id", "x"), 1).select(F.col("a").alias("i"), F.col("b").alias("j"))), "d2")
@@ -820,16 +825,37 @@ def calibration_medians(spark, sf):
 # --- learners and campaigns (rows only: learned state) -----------------------------------------
 
 
-def _learn(method: str, total: int = 60, **options) -> Query:
+def _learn(method: str, total: int = 60, oracle: str | None = None, **options) -> Query:
     def f(spark, sf):
-        return R.reduce(points(spark, sf), method, total, seed=SEED, **options)
+        d = R.reduce(points(spark, sf), method, total, seed=SEED, **options)
+        return d.withColumn("features", F.transform("features", lambda v: F.round(v, 6) + 0.0))
 
     f.__name__ = f"{method.lower()}_prototypes"
     f.__doc__ = f"Prototypes of all labelled vectors by the reducer {method}."
-    return query()(f)
-
-
-for _m in ("RSP3", "KMeans", "SPOT", "LVQ3", "GLVQ", "GNG", "Skeleton"):
+    return query(oracle)(f)
+
+
+_RSP3 = f"""WITH RECURSIVE {P64}, st(lvl, path, row_id, label, x) AS (SELECT 0, '', row_id, label, x FROM p UNION ALL
+  SELECT s.lvl + 1, s.path || CASE WHEN list_distance(s.x, far.xi) > list_distance(s.x, far.xj) THEN 'j' ELSE 'i' END, s.row_id, s.label, s.x FROM st s
+    JOIN (SELECT a.path, arg_max(a.x, (round(list_distance(a.x, b.x), 12), -a.row_id, -b.row_id)) AS xi, arg_max(b.x, (round(list_distance(a.x, b.x), 12), -a.row_id, -b.row_id)) AS xj, max(list_distance(a.x, b.x)) AS d
+          FROM st a JOIN st b ON a.path = b.path AND a.row_id < b.row_id JOIN (SELECT path FROM st GROUP BY 1 HAVING count(DISTINCT label) > 1) m ON m.path = a.path GROUP BY 1) far ON far.path = s.path WHERE far.d > 0),
+leaf AS (SELECT row_id, arg_max(path, lvl) AS path FROM st GROUP BY 1),
+proto AS (SELECT leaf.path, p.label, [{', '.join(f'avg(x[{i}])' for i in range(1, 65))}] AS f FROM leaf JOIN p ON p.row_id = leaf.row_id GROUP BY 1, 2)
+SELECT (row_number() OVER (ORDER BY label, f) - 1)::BIGINT AS proto_id, label, list_transform(f, lambda v: round(v, 6) + 0.0) AS features, (-1)::BIGINT AS source_row FROM proto"""
+
+_SNAP = "CASE WHEN abs({v}) < 1e-290 THEN 0.0 ELSE round({v} * pow(10.0, 11 - floor(log10(abs({v}))))) / pow(10.0, 11 - floor(log10(abs({v})))) END"
+_SPOT = f"""WITH RECURSIVE {P64}, {SHARES.format(total=60)}, c AS (SELECT a.label, a.row_id AS i, b.row_id AS j, list_distance(a.x, b.x) AS c FROM p a JOIN p b ON a.label = b.label),
+one AS (SELECT label, arg_min(i, ({_SNAP.format(v="v")}, i)) AS i FROM (SELECT label, i, avg(c) AS v FROM c GROUP BY 1, 2) GROUP BY 1),
+st(step, label, pick, j, cur) AS (SELECT 1, one.label, one.i, c.j, c.c FROM one JOIN c ON c.i = one.i UNION ALL
+  SELECT step + 1, s.label, g.pick, s.j, least(s.cur, c.c) FROM st s JOIN k ON k.label = s.label
+    JOIN (SELECT label, arg_max(i, ({_SNAP.format(v="v")}, -i)) AS pick FROM (SELECT s.label, c.i, avg(greatest(s.cur - c.c, 0.0)) AS v FROM st s JOIN c ON c.label = s.label AND c.j = s.j GROUP BY 1, 2) GROUP BY 1) g ON g.label = s.label
+    JOIN c ON c.i = g.pick AND c.j = s.j WHERE s.step < k.k),
+chosen AS (SELECT DISTINCT pick FROM st)
+SELECT (row_number() OVER (ORDER BY row_id) - 1)::BIGINT AS proto_id, label, list_transform(x, lambda v: round(v, 6) + 0.0) AS features, row_id AS source_row FROM p JOIN chosen ON row_id = pick"""
+
+_learn("RSP3", oracle=_RSP3)
+_learn("SPOT", oracle=_SPOT)
+for _m in ("KMeans", "LVQ3", "GLVQ", "GNG", "Skeleton"):
     _learn(_m)
 
 
