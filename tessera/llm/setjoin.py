@@ -9,15 +9,18 @@ likeness is at least 4/5.
 Under any one order of the hashes two such sets share one of their first ``n // 5 + 1`` hashes, so only texts
 that meet in a prefix are compared.  The order puts hashes that are frequent in a sample of the texts last;
 the sample decides how many texts meet, never which are linked.  Links are found in rounds, each between
-texts of different components so far: those of the trie, chains of the texts that meet in a hash, then each
-text with the ``WINDOW`` texts before and behind it in each hash it meets others in.  A hash lists its texts by their
-fingerprints, turned by a number of bits that differs from hash to hash, so alike texts stand together.  So a
-round has at most so many pairs a text and hash, and a large group costs its size, not its square.
+texts of different components so far: those of the trie, chains of the texts that meet in a hash, each
+text with the ``WINDOW`` texts before and behind it in each hash it meets others in, and the rest.  A hash lists its texts by their
+fingerprints, turned by a number of bits that differs from hash to hash, so alike texts stand together.  So each of the
+first rounds has at most so many pairs a text and hash, and a large group costs its size, not its square.
 
-What is exact: every link given is one (on 40 bits of the hashes), and texts that are alike and meet in a hash of at most
-``WINDOW + 1`` texts are always compared.  Texts that meet only in hashes of more texts are compared in as
-many turned orders as they share such hashes (44 % of a prefix at least); they are missed only if they are
-``WINDOW`` places apart in all of these and no chain of others joins them.
+The rest are texts of different components that meet only in hashes of more than ``WINDOW + 1`` texts.  They are
+compared in blocks of ``BLOCK`` texts inside a task, by their odd sketches: 1,024 bits, each the parity
+of the hashes that fall on it, so two sets differ in at least as many hashes as their sketches do in bits.  Only pairs
+whose sketches leave room for a likeness of 4/5 leave the task, to be confirmed; texts of one component by then,
+as those of a large group of copies are, are not compared.
+
+So all links count, on 40 bits of the hashes: components are those of the complete join.
 
 Edge cases: null, empty and blank texts have the empty set and are linked to each other; a text of
 fewer words than a shingle is one shingle; ids must be unique and not null.
@@ -41,6 +44,10 @@ SAMPLE_ROWS, MAX_FREQUENT = 10_000, 200_000
 CHAIN = 3
 #: Texts on either side that a text is compared with in a hash.
 WINDOW = 8
+#: Texts of a hash that a task compares with each other in the last round, and pairs it holds at once.
+BLOCK, PAIRS_HELD = 4096, 1 << 18
+#: Bits of an odd sketch.
+SKETCH = 1024
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -59,6 +66,12 @@ def wide(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of hashes that fall on each bit."""
+    fallen = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard likeness of at least 4/5, in whole numbers."""
     both = len(a) + len(b) - len(np.union1d(a, b))
@@ -135,13 +148,13 @@ _MEETING = "h long, id long, n long, pos long, fp long, crowd long"
 _PAIRS = "a long, b long, met long, crowd long, sizes long, rest long"
 
 
-def _meeting(c: dict):
+def _meeting(c: dict, window: int):
     """Rows of hashes that at least two texts hold; crowd: whether they are more than all compared with each other."""
     import pyarrow as pa
 
     edges = np.concatenate([[0], np.flatnonzero(np.diff(c["h"])) + 1, [len(c["h"])]])
     size = np.repeat(np.diff(edges), np.diff(edges))
-    c["crowd"] = (size > WINDOW + 1).astype(np.int64)
+    c["crowd"] = (size > window + 1).astype(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(c[k][size > 1]) for k in ("h", "id", "n", "pos", "fp", "crowd")], ["h", "id", "n", "pos", "fp", "crowd"])
 
 
@@ -170,6 +183,59 @@ def _pairs(c: dict, window: int):
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], [f.split()[0] for f in _PAIRS.split(", ")])
 
 
+def _rest_pairs(crowded: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of texts of different roots that meet in a hash and whose sketches allow a likeness of 4/5.
+
+    ``crowded``: h, id, root, n, pos, sketch.  A hash of more than ``block`` texts is cut into blocks, and each pair
+    of blocks is a group of its own.
+    """
+    import pyarrow as pa
+
+    sizes = crowded.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
+    rows = crowded.join(sizes.select("h", "blocks"), "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root", "n", "pos", "sketch")
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator) -> Iterator:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        c = {k: t.column(k).to_numpy() for k in names}
+        order = np.lexsort((c["id"], c["root"], c["y"], c["x"], c["h"]))
+        c = {k: v[order] for k, v in c.items()}
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)[order]
+
+        def ends(*keys: str) -> np.ndarray:
+            new = np.flatnonzero(np.any([np.diff(c[k]) != 0 for k in keys], axis=0)) + 1
+            edges = np.concatenate([[0], new, [len(order)]])
+            return np.repeat(edges[1:], np.diff(edges))
+
+        # Rows of a group stand by root: a row's partners are those from the end of its root's run to the group's end.
+        start = ends("h", "x", "y", "root")
+        many = ends("h", "x", "y") - start
+        total = np.concatenate([[0], np.cumsum(many)])
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_HELD, "right")) - 1)
+            i = np.repeat(np.arange(at, to), many[at:to])
+            j = np.arange(len(i)) - np.repeat(total[at:to] - total[at], many[at:to]) + start[i]
+            at = to
+            n, m = c["n"][i], c["n"][j]
+            # At the first hash that alike sets share, enough must stand behind it in both.
+            ok = 9 * np.minimum(n - c["pos"][i], m - c["pos"][j]) >= 4 * (n + m)
+            ok &= (c["x"][i] == c["y"][i]) | (c["block"][i] != c["block"][j])
+            i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+            ok = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= n + m
+            if ok.any():
+                a, b = c["id"][i[ok]], c["id"][j[ok]]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.ascontiguousarray(pairs.T)], ["a", "b"])
+
+    return rows.repartition(max(2, shuffle_partitions(rows.sparkSession)), "h", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (id, hashes) are alike."""
     import pyarrow as pa
@@ -184,7 +250,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, component_id: the least doc_id of the texts linked to a text."""
     import pyarrow as pa
 
@@ -193,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = scratch.keep(first.groupBy("key").agg(F.min("doc_id").alias("least")), "sets")
     own = first.join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
     rows = own.select(F.col("doc_id").alias("id"), "n", "fp", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "n", F.col("pos").cast("long").alias("pos"), "fp")
-    meeting = scratch.keep(_by_hash(rows, _meeting, _MEETING), "meeting")
+    meeting = scratch.keep(_by_hash(rows, lambda c: _meeting(c, window), _MEETING), "meeting")
     crowds = scratch.keep(meeting.groupBy("id").agg(F.sum("crowd").alias("crowds")), "crowds")
 
     # Texts of one fingerprint or of near ones: candidates, as are the links of the trie.
@@ -205,18 +271,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def hashes(batches: Iterator) -> Iterator:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([thin(shingles(t, shingle)) for t in utf8(b.column(1))], pa.binary())], ["id", "hashes"])
+            thinned = [thin(shingles(t, shingle)) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(thinned, pa.binary()), pa.array([odd_sketch(wide(x)) for x in thinned], pa.binary())], ["id", "hashes", "sketch"])
 
     wanted = meeting.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = scratch.keep(some.mapInArrow(hashes, "id long, hashes binary"), "hashes")
+    sets = scratch.keep(some.mapInArrow(hashes, "id long, hashes binary, sketch binary"), "hashes")
 
     links = scratch.keep(confirmed(close, sets), "links")
-    for last in (CHAIN, None):
+    for last in (CHAIN, None, -1):
         groups = components(links, scratch)
         named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(crowds, "id")
-        if last is None:
-            pairs = _by_hash(named, lambda c: _pairs(c, WINDOW), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
+        if last == -1:
+            pairs = _rest_pairs(named.where("crowd = 1").join(sets.select("id", "sketch"), "id").select("h", "id", "root", "n", "pos", "sketch"), block)
+        elif last is None:
+            pairs = _by_hash(named, lambda c: _pairs(c, window), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
             # A pair can share no more than the small hashes it met in, the large ones, and those behind the prefix.
             pairs = pairs.where("9 * (met + crowd + rest) >= 4 * sizes").select("a", "b")
         else:

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from tessera.llm import setjoin
 
 
 def brute_set(text):
@@ -61,3 +64,31 @@ def test_near_duplicates_stage_repeated_ids(spark):
 
 def test_near_duplicates_stage_empty(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_near_duplicates_crowds(spark):
+    """Groups larger than what the first rounds compare, some of whose texts are just beyond the likeness."""
+    rng, words, out = random.Random(9), [f"w{i}" for i in range(500)], []
+    for n in (30, 60, 90):
+        base = [rng.choice(words) for _ in range(n)]
+        for _ in range(60):
+            t = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                t[rng.randrange(n)] = rng.choice(words)
+            out.append(" ".join(t))
+    rows = list(enumerate(out))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [i for i, _ in brute_kept(rows)]
+    assert len(want) > 3
+    for window, block in ((1, 7), (1, 4096), (8, 25)):
+        got = setjoin.near_duplicates(d, window=window, block=block).where("doc_id = component_id")
+        assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_odd_sketch_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 5000):
+        a = np.unique(rng.integers(0, 2**40, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**40, n // 3).astype(np.uint64)]))
+        x, y = (np.frombuffer(setjoin.odd_sketch(v), np.uint8) for v in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
