@@ -183,16 +183,16 @@ def _pairs(c: dict, window: int):
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], [f.split()[0] for f in _PAIRS.split(", ")])
 
 
-def _rest_pairs(crowded: DataFrame, block: int) -> DataFrame:
+def _rest_pairs(crowded: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
     """Pairs (a, b) of texts of different roots that meet in a hash and whose sketches allow a likeness of 4/5.
 
-    ``crowded``: h, id, root, n, pos, sketch.  A hash of more than ``block`` texts is cut into blocks, and each pair
-    of blocks is a group of its own.
+    ``crowded``: h, id, root, n, pos; ``sketches``: id, sketch, joined only to texts of hashes that hold several
+    roots.  A hash of more than ``block`` texts is cut into blocks, and each pair of blocks is a group of its own.
     """
     import pyarrow as pa
 
     sizes = crowded.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
-    rows = crowded.join(sizes.select("h", "blocks"), "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = crowded.join(sizes.select("h", "blocks"), "h").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root", "n", "pos", "sketch")
     names = rows.columns[:-1]
@@ -233,7 +233,7 @@ def _rest_pairs(crowded: DataFrame, block: int) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.ascontiguousarray(pairs.T)], ["a", "b"])
 
-    return rows.repartition(max(2, shuffle_partitions(rows.sparkSession)), "h", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(max(2, shuffle_partitions(rows.sparkSession)), "h", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDO
         groups = components(links, scratch)
         named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(crowds, "id")
         if last == -1:
-            pairs = _rest_pairs(named.where("crowd = 1").join(sets.select("id", "sketch"), "id").select("h", "id", "root", "n", "pos", "sketch"), block)
+            pairs = _rest_pairs(named.where("crowd = 1").select("h", "id", "root", "n", "pos"), sets.select("id", "sketch"), block).distinct()
         elif last is None:
             pairs = _by_hash(named, lambda c: _pairs(c, window), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
             # A pair can share no more than the small hashes it met in, the large ones, and those behind the prefix.
