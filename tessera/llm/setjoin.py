@@ -281,15 +281,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDO
     links = scratch.keep(confirmed(close, sets), "links")
     for last in (CHAIN, None, -1):
         groups = components(links, scratch)
-        named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")).join(crowds, "id")
+        named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
         if last == -1:
             pairs = _rest_pairs(named.where("crowd = 1").select("h", "id", "root", "n", "pos"), sets.select("id", "sketch"), block).distinct()
         elif last is None:
-            pairs = _by_hash(named, lambda c: _pairs(c, window), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
+            pairs = _by_hash(named.join(crowds, "id"), lambda c: _pairs(c, window), _PAIRS).groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("crowd", "sizes", "rest")])
             # A pair can share no more than the small hashes it met in, the large ones, and those behind the prefix.
             pairs = pairs.where("9 * (met + crowd + rest) >= 4 * sizes").select("a", "b")
         else:
-            pairs = _by_hash(named.where(F.col("pos") <= last), lambda c: _pairs(c, 1), _PAIRS).select("a", "b").distinct()
+            pairs = _by_hash(named.join(crowds, "id").where(F.col("pos") <= last), lambda c: _pairs(c, 1), _PAIRS).select("a", "b").distinct()
         links = links.unionByName(scratch.keep(confirmed(pairs, sets), "links"))
     groups = components(links, scratch)
     root = least.join(groups, least.least == groups.id, "left").select("key", F.coalesce("root", "least").alias("component_id"))
