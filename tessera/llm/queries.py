@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langmodel, linededup, merkle, mixing, packing, quality, secrets, simhash, tokencount, toxicity, winnow
+from tessera.llm import decontam, langmodel, linededup, merkle, mixing, packing, quality, secrets, simhash, tokencount, toxicity, winnow
 from tessera.llm.common import table
 
 
@@ -59,9 +59,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.report(decontam.mark(docs, table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL}
