@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langmodel, linededup, merkle, mixing, packing, quality, secrets, simhash, tokencount, toxicity, winnow
+from tessera.llm import decontam, langmodel, linededup, merkle, mixing, packing, quality, secrets, simhash, tokencount, toxicity, vectorcodes, winnow
 from tessera.llm.common import table
 
 
@@ -64,9 +64,14 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.report(decontam.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.drop("label").withColumn("codebooks_sha256", F.lit(vectorcodes.books_digest(books)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL, "op13_vector_codes": vectorcodes.ORACLE_SQL}
