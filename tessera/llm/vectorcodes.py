@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,8 +243,6 @@ def decompress(codes: DataFrame, books: list[np.ndarray]) -> DataFrame:
     table = [[[(int(x) + 0.5) / SCALE for x in e] for e in b] for b in books]
     digits = max(2, len(f"{len(books[0]) - 1:x}"))
 
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(code: pd.Series) -> pd.Series:
         return code.map(lambda c: [x for p, book in enumerate(table) for x in book[int(c[p * digits : (p + 1) * digits], 16)]])
@@ -256,7 +255,7 @@ def _oracle(width: int = 64, parts: int = PARTS, rounds: int = ROUNDS) -> str:
     w = width // parts
     kind = f"DOUBLE[{w}]"
     steps = [
-        f"v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM documents_vectors)",
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
         f"p AS MATERIALIZED (SELECT vec_id, label, position, x[position * {w} + 1 : position * {w} + {w}]::{kind} AS part FROM v, (SELECT unnest(range({parts})) AS position))",
         f"b0 AS MATERIALIZED (SELECT position, entry, part AS e FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {ENTRIES})",
     ]
@@ -268,9 +267,7 @@ def _oracle(width: int = 64, parts: int = PARTS, rounds: int = ROUNDS) -> str:
         f"f AS (SELECT vec_id, label, string_agg(lower(lpad(hex(m.entry), 2, '0')), '' ORDER BY position) AS code, sum(m.d)::BIGINT AS error FROM {near(rounds)} GROUP BY vec_id, label)",
         f"g AS (SELECT sha256(string_agg(array_to_string(list_transform(e::DOUBLE[], lambda x: x::BIGINT), ','), ',' ORDER BY position, entry)) AS books FROM b{rounds})",
     ]
-    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256 FROM f, g".replace(
-        "documents_vectors", "embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
-    )
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256 FROM f, g"
 
 
 ORACLE_SQL = _oracle()
