@@ -106,23 +106,3 @@ def hops(vertex: DataFrame, edges: DataFrame) -> DataFrame:
     every = vertex.select(F.col("vid").alias("src")).crossJoin(vertex.select(F.col("vid").alias("dst")))
     return every.join(seen, ["src", "dst"], "left").na.fill(n, ["hop"])
 
-
-def bridges(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that join the components of a graph on points: the merged set starts with the least
-    point's component and absorbs the rest by closest pairs, one component a round."""
-    from tessera.functions.vectors import sq_dist
-    from tessera.operators.neighbors import DECIMALS, every_with
-
-    comp = cut_lineage(components(points.select(F.col("row_id").alias("vid")), edges))
-    p = points.join(comp.withColumnRenamed("vid", "row_id"), "row_id")
-    merged = [comp.agg(F.min("comp")).first()[0]]
-    out = []
-    while True:  # one round a component; the list holds component ids only
-        left = p.where(F.col("comp").isin(merged)).select(F.col("row_id").alias("a"), "x")
-        right = p.where(~F.col("comp").isin(merged)).select(F.col("row_id").alias("b"), F.col("x").alias("v"), "comp")
-        best = every_with(left, right).groupBy().agg(F.min(F.struct(F.round(sq_dist(F.col("x"), F.col("v")), DECIMALS).alias("d2"), "a", "b", "comp")).alias("m")).first().m
-        if best is None:
-            break
-        merged.append(best.comp)
-        out.append((best.a, best.b, best.d2))
-    return points.sparkSession.createDataFrame(out, "a long, b long, d2 double")

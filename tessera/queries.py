@@ -19,6 +19,7 @@ from tessera.operators import neighbors as N
 from tessera.operators import prepare as P
 from tessera.operators import reducers as R
 from tessera.operators import segments as G
+from tessera.operators import spanning as B
 from tessera.operators import stats as T
 from tessera.operators import topology as H
 from tessera.plans import campaign as K
@@ -558,7 +559,7 @@ grow(merged, m) AS (SELECT [min(comp)], NULL::STRUCT(d2 DOUBLE, a BIGINT, b BIGI
 SELECT m.a AS a, m.b AS b, round(m.d2, 6) + 0.0 AS d2 FROM grow WHERE m IS NOT NULL""")
 def component_bridges(spark, sf):
     p = points(spark, sf, 4).where("label = 0")
-    return rounded(H.bridges(p.select("row_id", "x"), N.knn_graph(p.select("row_id", "x"), 1).select(F.col("a").alias("i"), F.col("b").alias("j"))), "d2")
+    return rounded(B.bridges(p.select("row_id", "x"), N.knn_graph(p.select("row_id", "x"), 1).select(F.col("a").alias("i"), F.col("b").alias("j"))), "d2")
 
 
 # --- lens, cover, nerve -----------------------------------------------------------------------
