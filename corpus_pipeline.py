@@ -29,15 +29,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a 5-word Jaccard likeness of 0.8: the smallest doc_id (null last)."""
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # no name of theirs meets one of ours
     if rows != ids:  # ids that are null or repeat cannot name a row: number the rows
-        docs = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        by_row = setjoin.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-        named = by_row.join(docs.select("_row", F.col("doc_id").alias("_id")), "_row")
-        first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
-        keep = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
-        return docs.join(keep, "_row", "left_semi").drop("_row")
-    keep = setjoin.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs.doc_id == F.col("_keep"), "left_semi")
+        held = Scratch(spark).keep(held.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        by_row = setjoin.near_duplicates(held.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+        named = by_row.join(held.select("row", F.col("doc.doc_id").alias("id")), "row")
+        first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+        keep = named.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    else:
+        held = held.withColumn("row", F.col("doc.doc_id"))
+        keep = setjoin.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return held.join(keep, "row", "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
