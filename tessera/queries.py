@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.functions.vectors import as_doubles, mean_vector
 from tessera.operators import cover as C
+from tessera.operators import levels as L
 from tessera.operators import neighbors as N
 from tessera.operators import prepare as P
 from tessera.operators import reducers as R
@@ -854,7 +855,13 @@ st(step, label, pick, j, cur) AS (SELECT 1, one.label, one.i, c.j, c.c FROM one
 chosen AS (SELECT DISTINCT pick FROM st)
 SELECT (row_number() OVER (ORDER BY row_id) - 1)::BIGINT AS proto_id, label, list_transform(x, lambda v: round(v, 6) + 0.0) AS features, row_id AS source_row FROM p JOIN chosen ON row_id = pick"""
 
-_learn("RSP3", oracle=_RSP3)
+
+@query(_RSP3)
+def rsp3_prototypes(spark, sf):
+    """Class means of the partition's subsets, cut level by level; subsets of 256 rows are cut to their end in a task."""
+    return L.rsp3(points(spark, sf), subset_rows=256).withColumn("features", F.transform("features", lambda v: F.round(v, 6) + 0.0))
+
+
 _learn("SPOT", oracle=_SPOT)
 for _m in ("KMeans", "LVQ3", "GLVQ", "GNG", "Skeleton"):
     _learn(_m)
