@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.functions.vectors import as_doubles, mean_vector
 from tessera.operators import cover as C
+from tessera.operators import kmeans as KM
 from tessera.operators import levels as L
 from tessera.operators import neighbors as N
 from tessera.operators import prepare as P
@@ -863,10 +864,38 @@ def rsp3_prototypes(spark, sf):
 
 
 _learn("SPOT", oracle=_SPOT)
-for _m in ("KMeans", "LVQ3", "GLVQ", "GNG", "Skeleton"):
+for _m in ("LVQ3", "GLVQ", "GNG", "Skeleton"):
     _learn(_m)
 
 
+@query()
+def kmeans_prototypes(spark, sf):
+    """Sixty centres over all classes: every class and restart in one pass a round."""
+    p = points(spark, sf)
+    n = {r.label: r["count"] for r in p.groupBy("label").count().orderBy("label").collect()}
+    want = dict(zip(n, P.shares(list(n.values()), 60), strict=True))
+    return KM.prototypes(p, want, seed=SEED).withColumn("features", F.transform("features", lambda v: F.round(v, 6) + 0.0))
+
+
+@query(f"""WITH {P64}, c AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS k, x AS v FROM p QUALIFY k < 3),
+a AS (SELECT p.row_id, p.label, any_value(x) AS x, min(struct_pack(d := {D2.format(a="x", b="v")}, k := k)) AS m FROM p JOIN c ON p.label = c.label GROUP BY 1, 2)
+SELECT label::BIGINT AS label, m.k::BIGINT AS k, count(*)::BIGINT AS n, [{', '.join(f'round(avg(x[{i}]), 6) + 0.0' for i in range(1, 65))}] AS centre FROM a GROUP BY 1, 2""")
+def kmeans_round(spark, sf):
+    """One round from each class's three first rows."""
+    p = points(spark, sf)
+    w = Window.partitionBy("label").orderBy("row_id")
+    first = p.withColumn("k", F.row_number().over(w)).where("k <= 3").orderBy("label", "k").collect()  # three rows a class
+    given = {}
+    for r in first:
+        given.setdefault((r.label, 0), []).append(r.x)
+    import numpy as np
+
+    got = KM.one_pass(p.select("row_id", F.col("label").cast("long").alias("label"), "x"), {key: np.array(v) for key, v in given.items()})
+    rows = [(c, k, int(n[k]), (s[k] / n[k]).tolist()) for (c, _), (n, s, _) in got.items() for k in range(len(n)) if n[k]]
+    d = spark.createDataFrame(rows, "label long, k long, n long, centre array<double>")
+    return d.withColumn("centre", F.transform("centre", lambda v: F.round(v, 6) + 0.0))
+
+
 def _campaign_rows(spark, sf, k=5):
     """Two classes that the vectors tell apart but for a band: the sign of their first two entries' sum."""
     band = F.when(F.col("row_id") % 9 == 0, F.lit(0.1)).otherwise(F.lit(0.0))
