@@ -140,15 +140,19 @@ def test_friedman_has_its_p(golden):
     assert f.p == pytest.approx(T.chi2_tail(f.chi2, 7)) and f.p < 1e-6
 
 
-def test_a_large_model_is_refused(spark, monkeypatch):
+def test_a_large_model_is_not_paired_with_every_point(spark, monkeypatch):
+    """Over the bound a cross join is refused; the searches that need none answer as they do within it."""
     from tessera.operators import neighbors as N
 
     p = spark.range(30).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
-    assert N.eccentricity(p).count() == 30
+    searches = (N.eccentricity, N.farthest_pair, N.facility_gains)
+    within = [sorted(map(tuple, f(p).collect())) for f in searches]
+    assert within[1] == [(0, 29, 841.0)] and dict(within[0])[0] == 15.0
     monkeypatch.setattr(N, "MODEL_ROWS", 20)
-    for f in (N.eccentricity, N.farthest_pair, N.facility_gains):
-        with pytest.raises(ValueError, match="over the bound"):
-            f(p)
+    monkeypatch.setattr(N, "MODEL_CELLS", 20)
+    with pytest.raises(ValueError, match="over the bound"):
+        N.every_with(p, p.withColumnsRenamed({"row_id": "proto_id", "x": "v"}))
+    assert [sorted(map(tuple, f(p).collect())) for f in searches] == within
 
 
 @pytest.mark.parametrize("p,want", [([0.01, 0.02, 0.03, 0.04], [0.04, 0.06, 0.06, 0.06]), ([0.5, 0.6, 0.7], [1.0, 1.0, 1.0]), ([0.001, 0.9], [0.002, 0.9])])
