@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.registry import Registry
 from tessera.functions.scalars import min_cluster_size, n_intervals
 from tessera.functions.vectors import dot
 
@@ -94,6 +95,24 @@ def fix_sign(df: DataFrame, value: str, row_id: str = "row_id") -> DataFrame:
     return df.crossJoin(F.broadcast(top.select((F.when(F.col("_top.v") < 0, -1.0).otherwise(1.0)).alias("_sign")))).withColumn(value, F.col(value) * F.col("_sign")).drop("_sign")
 
 
+#: Lenses by name: (rows with row_id and x, dimensions) to the rows with a value f.
+LENSES = Registry("lens")
+LENSES.register("pc1")(pc1_lens)
+
+
+@LENSES.register("eccentricity")
+def eccentricity_lens(df: DataFrame, dims: int) -> DataFrame:
+    """f is the mean distance to the other rows."""
+    from tessera.operators.neighbors import eccentricity
+
+    return df.join(eccentricity(df.select("row_id", "x")).withColumnRenamed("ecc", "f"), "row_id")
+
+
+def lens(df: DataFrame, name: str, dims: int) -> DataFrame:
+    """Rows with the value f of a registered lens."""
+    return LENSES[name](df, dims)
+
+
 def nerve(membership: DataFrame, keys: list[str]) -> DataFrame:
     """Clusters a < b that share a row; membership(keys, cluster, row_id).  A row lies in at most two
     slabs of a cover, so the self-join on rows has at most one pair a row."""

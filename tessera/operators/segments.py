@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.registry import Registry
 from tessera.functions.scalars import margin
 from tessera.functions.vectors import segment_fields, sq_dist
 from tessera.operators.neighbors import DECIMALS, every_with, small
@@ -96,3 +97,28 @@ def variant_risk(points: DataFrame, base: DataFrame, variants: DataFrame) -> Dat
     wins = correct_given_others("own", "_b.d", "cls", "_b.other")
     wrong = F.when(wins, F.col("cls")).otherwise(F.col("_b.other")) != F.col("label")
     return best.groupBy("variant", "cls").agg(F.avg(wrong.cast("double")).alias("risk"))
+
+
+#: Error mass of a point from (own distance, least other distance, own class, that other class); a vertex is added where most of it lies.
+ERROR_ORACLES = Registry("error oracle")
+
+
+@ERROR_ORACLES.register("misclassified")
+def misclassified(own, other, own_cls, other_cls):
+    """One for each point that goes to another class."""
+    return (~((own < other) | ((own == other) & (own_cls < other_cls)))).cast("long")
+
+
+@ERROR_ORACLES.register("distortion")
+def distortion(own, other, own_cls, other_cls):
+    """The squared distance to the own class."""
+    return own * own
+
+
+def growth_sites(own: DataFrame, other: DataFrame, keys: list[str], oracle: str = "misclassified") -> DataFrame:
+    """(label, kind, id, errors, distortion, is_site): the oracle's mass and the squared distances by nearest own object, and where the next
+    vertex of each class goes; of equals a segment before a vertex, then the lowest."""
+    mass = ERROR_ORACLES[oracle](F.col("d"), F.col("other_min"), F.col("label"), F.col("other_arg"))
+    d = own.join(other, keys).groupBy("label", "kind", "id").agg(F.sum(mass).alias("errors"), F.sum(F.col("d") * F.col("d")).alias("distortion"))
+    w = Window.partitionBy("label").orderBy(F.desc("errors"), F.desc("kind"), "id")
+    return d.withColumn("is_site", F.row_number().over(w) == 1)

@@ -413,10 +413,7 @@ def growth_site(spark, sf):
     o = _objects(spark, sf)
     own = G.nearest_object(o.where("cls = label"), KEYS)
     other = G.other_extrema(G.class_distances(o, KEYS), KEYS, "label")
-    wrong = ~G.correct_given_others("d", "other_min", "label", "other_arg")
-    d = own.join(other, KEYS).groupBy("label", "kind", "id").agg(F.sum(wrong.cast("long")).alias("errors"), F.sum(F.col("d") * F.col("d")).alias("distortion"))
-    w = Window.partitionBy("label").orderBy(F.desc("errors"), F.desc("kind"), "id")
-    return rounded(d.withColumn("is_site", F.row_number().over(w) == 1), "distortion")
+    return rounded(G.growth_sites(own, other, KEYS), "distortion")
 
 
 @query(f"""{SKEL}, own AS (SELECT row_id, label, min((d, kind, id, t)) AS m FROM dist WHERE cls = label GROUP BY 1, 2), neg AS (SELECT row_id, min((d, cls, kind, id, t)) AS m FROM dist WHERE cls <> label GROUP BY 1),
