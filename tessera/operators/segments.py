@@ -23,6 +23,15 @@ def with_ends(edge: DataFrame, vertex: DataFrame) -> DataFrame:
     return edge.join(u, ["label", "i"]).join(v, ["label", "j"]).select("label", "eid", "i", "j", "u", "v")
 
 
+def checked_edges(edge: DataFrame, vertex: DataFrame) -> DataFrame:
+    """``edge`` (label, eid, i, j) itself; an edge to itself or to a vertex that its class does not have is an error."""
+    at = lambda end: vertex.select("label", F.col("vid").alias(end), F.lit(True).alias(f"_{end}"))
+    bad = edge.join(at("i"), ["label", "i"], "left").join(at("j"), ["label", "j"], "left").where(F.col("_i").isNull() | F.col("_j").isNull() | (F.col("i") == F.col("j")))
+    if rows := bad.select("label", "eid", "i", "j").limit(5).collect():
+        raise ValueError(f"edges without two vertices of their class: {[tuple(r) for r in rows]}")
+    return edge
+
+
 def object_distances(points: DataFrame, vertex: DataFrame, segment: DataFrame) -> DataFrame:
     """(row_id, cls, kind, id, d, t): every point against every object.  The two object tables are
     one broadcast, so the points are scanned once."""

@@ -1,4 +1,4 @@
-"""What a user registers takes part like what is built in."""
+"""What a user registers takes part like what is built in; what is malformed is refused."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cover as C
 from tessera.operators import segments as G
+from tessera.plans import campaign as K
 
 
 def sites(spark, oracle):
@@ -40,3 +41,20 @@ def test_lenses(spark):
         assert np.allclose([r.f for r in C.lens(df, "first", 3).orderBy("row_id").collect()], x[:, 0])
     finally:
         del C.LENSES["first"]
+
+
+@pytest.mark.parametrize("edge", [(0, 7, 0, 5), (0, 7, 1, 1), (1, 7, 0, 1)])
+def test_bad_edges_are_refused(spark, edge):
+    vertex = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "label int, vid long")
+    kind = "label int, eid long, i long, j long"
+    good = spark.createDataFrame([(0, 0, 0, 1)], kind)
+    assert G.checked_edges(good, vertex) is good
+    with pytest.raises(ValueError, match="without two vertices"):
+        G.checked_edges(good.unionByName(spark.createDataFrame([edge], kind)), vertex)
+
+
+@pytest.mark.parametrize("budgets", [[0.0], [1.5], [-0.1], [0.2, 0.2]])
+def test_bad_fractions_are_refused(spark, budgets):
+    df = spark.createDataFrame([("d", 0, 0, 0, [1.0])], "dataset string, row_id long, label int, fold int, x array<double>")
+    with pytest.raises(ValueError, match="fractions"):
+        K.run_campaign(df, 2, budgets=budgets)
