@@ -1,7 +1,7 @@
 """K-means of every class at once, all restarts in one pass over the rows.
 
 A centre table (class, restart, centre) goes to the tasks, its numbers bounded by ``CELLS``; a pass streams the rows by it, and each
-task leaves one sum of rows a centre, which one grouping adds up.  Seeds come by oversampling rounds: a row is taken with a
+task leaves one sum of rows a centre; one grouping adds them up, or the driver while tasks times centres are few (``GATHER``).  Seeds come by oversampling rounds: a row is taken with a
 probability in proportion to its squared distance from the seeds so far, decided by a hash of its id, so reruns agree; the few
 candidates, weighted by the rows nearest to each, are thinned to k on the driver.
 """
@@ -20,6 +20,8 @@ from tessera.plans.session import cut_lineage
 
 Centres = dict[tuple[int, int], np.ndarray]  # by class and restart
 CELLS = 20_000_000
+#: Numbers that all tasks of a pass may leave for the driver to add up; more are added up by a shuffle.
+GATHER = 2_000_000
 #: Oversampling rounds, and candidates a round as a multiple of the centres wanted.
 SEED_ROUNDS, OVERSAMPLE = 5, 2.0
 
@@ -66,9 +68,18 @@ def one_pass(rows: DataFrame, centres: Centres) -> dict[tuple[int, int], tuple[n
             yield pa.RecordBatch.from_arrays([pa.array(col) for col in zip(*out, strict=True)], ["label", "start", "k", "n", "cost", "s"])
 
     parts = rows.mapInArrow(run, "label long, start long, k long, n long, cost double, s array<double>")
+    got = {key: [np.zeros(len(v), np.int64), np.zeros_like(v), 0.0] for key, v in centres.items()}
+    if rows.rdd.getNumPartitions() * sum(v.size for v in centres.values()) <= GATHER:
+        t = parts.toArrow()
+        sums = t.column("s").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        for label, start, k, n, cost, s in zip(*(t.column(c).to_pylist() for c in ("label", "start", "k", "n", "cost")), sums, strict=True):
+            g = got[label, start]
+            g[0][k] += n
+            g[1][k] += s
+            g[2] += cost
+        return {k: tuple(v) for k, v in got.items()}
     parts = parts.select("label", "start", "k", "n", "cost", F.posexplode("s").alias("at", "s"))
     total = parts.groupBy("label", "start", "k", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("s").alias("s"))
-    got = {key: [np.zeros(len(v), np.int64), np.zeros_like(v), 0.0] for key, v in centres.items()}
     for r in total.collect():  # a row a number of the centre table
         g = got[r.label, r.start]
         g[0][r.k], g[1][r.k, r["at"]] = r.n, r.s

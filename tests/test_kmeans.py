@@ -29,7 +29,9 @@ def test_inertia_and_reruns(data):
         assert np.allclose(again[c, s], v)
 
 
-def test_one_round(data):
+@pytest.mark.parametrize("gather", [0, M.GATHER])
+def test_one_round(data, monkeypatch, gather):
+    monkeypatch.setattr(M, "GATHER", gather)
     x, y, points = data
     rows = points.selectExpr("row_id", "cast(label as long) label", "x")
     given = {(0, 0): x[y == 0][:5], (1, 0): np.concatenate([x[y == 1][:3], [[99.0] * 3]])}
