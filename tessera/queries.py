@@ -912,6 +912,31 @@ def budget_curve(spark, sf):
     return K.curve_means(rows)
 
 
+CURVE = (0.002, 0.004, 0.1, 0.2)
+_BAND = f"""{P4}, lab AS (SELECT row_id, x, (x[1] + x[2] > CASE WHEN row_id % 9 = 0 THEN 0.1 ELSE 0.0 END)::INTEGER AS label FROM p),
+fo AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY md5(concat(row_id, ':', {SEED})), row_id) - 1) % 5)::INTEGER AS fold FROM lab),
+tr AS (SELECT f::INTEGER AS f, fo.* FROM fo, range(5) r(f) WHERE fold <> f), ns AS (SELECT f, count(*)::BIGINT AS n_train, count(DISTINCT label)::BIGINT AS c FROM tr GROUP BY 1),
+grid AS (SELECT f AS fold, pt, rho, n_train, greatest(floor(rho * n_train + 0.5)::BIGINT, c) AS budget, floor(rho * n_train + 0.5) < c AS floored FROM ns, (VALUES {', '.join(f'({i}, {r}::DOUBLE)' for i, r in enumerate(CURVE))}) g(pt, rho))"""
+
+
+@query(f"""WITH {_BAND} SELECT 'vectors' AS dataset, fold, pt::INTEGER AS point, rho AS budget_fraction_nominal, n_train, budget, round(budget / n_train, 10) + 0.0 AS budget_fraction, floored AS budget_floored,
+row_number() OVER (PARTITION BY fold, budget ORDER BY pt) > 1 AS shared_build FROM grid""")
+def curve_grid(spark, sf):
+    """Budgets of each fold and fraction: which the number of classes decides, and which share a build."""
+    return rounded(K.curve_points(_campaign_rows(spark, sf), 5, CURVE), "budget_fraction", digits=10)
+
+
+@query(f"""WITH {_BAND}, mm AS (SELECT f, {', '.join(f'min(x[{i}]) AS a{i}, max(x[{i}]) - min(x[{i}]) AS s{i}' for i in range(1, 5))} FROM tr GROUP BY 1),
+sc AS (SELECT mm.f, row_id, label, fold, [{', '.join(f'(x[{i}] - a{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END' for i in range(1, 5))}] AS x FROM fo, mm),
+nn AS (SELECT te.f, te.row_id, te.label, arg_min(t.label, (list_distance(te.x, t.x), t.row_id)) AS predicted FROM sc te JOIN sc t ON t.f = te.f AND te.fold = te.f AND t.fold <> t.f GROUP BY 1, 2, 3),
+acc AS (SELECT f, avg((label = predicted)::INTEGER) AS acc FROM nn GROUP BY 1)
+SELECT fold, 'Full' AS method, rho AS budget_fraction_nominal, budget::INTEGER AS budget, false AS swept, pt > 0 AS shared_build, n_train::INTEGER AS n_proto, round(acc, 10) + 0.0 AS acc_1nn FROM grid JOIN acc ON acc.f = fold""")
+def curve_reference(spark, sf):
+    """The full set at every fraction: one build a fold, repeated."""
+    rows = K.run_curve(_campaign_rows(spark, sf), 5, CURVE, methods=("Full",))
+    return rounded(rows.select("fold", "method", "budget_fraction_nominal", "budget", "swept", "shared_build", "n_proto", "acc_1nn"), "acc_1nn", digits=10)
+
+
 @query()
 def phase0_calibration(spark, sf):
     """Sizes of the nerve of each class and fold's training rows."""
