@@ -108,6 +108,15 @@ def eccentricity_lens(df: DataFrame, dims: int) -> DataFrame:
     return df.join(eccentricity(df.select("row_id", "x")).withColumnRenamed("ecc", "f"), "row_id")
 
 
+@LENSES.register("fiedler")
+def fiedler_lens(df: DataFrame, dims: int) -> DataFrame:
+    """f is the second eigenvector of the neighbour graph's normalised Laplacian."""
+    from tessera.operators.spectral import fiedler
+
+    one = df.select(F.lit(0).alias("_all"), "row_id", "x")
+    return df.join(fiedler(one, "_all").select("row_id", "f"), "row_id")
+
+
 def lens(df: DataFrame, name: str, dims: int) -> DataFrame:
     """Rows with the value f of a registered lens."""
     return LENSES[name](df, dims)

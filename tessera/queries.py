@@ -22,6 +22,7 @@ from tessera.operators import prepare as P
 from tessera.operators import reducers as R
 from tessera.operators import segments as G
 from tessera.operators import spanning as B
+from tessera.operators import spectral as Z
 from tessera.operators import stats as T
 from tessera.operators import topology as H
 from tessera.plans import campaign as K
@@ -955,19 +956,23 @@ def phase0_calibration(spark, sf):
     return d.groupBy("_f", "label").applyInPandas(nerve, "fold int, cls int, n_class long, n_intervals int, placement string, n_vertices int, n_edges int, degenerate boolean, noise_reassigned long")
 
 
-@query()
-def fiedler_lens(spark, sf):
-    import numpy as np
-    import pandas as pd
+_FIEDLER = f"""{P4}, sd AS (SELECT label, {', '.join(f'avg(x[{i}]) AS m{i}, stddev_pop(x[{i}]) AS s{i}' for i in range(1, 5))} FROM p GROUP BY 1),
+z AS (SELECT row_id, p.label, row_number() OVER (PARTITION BY p.label ORDER BY row_id) AS i, [{', '.join(f'CASE WHEN s{i} > 0 THEN (x[{i}] - m{i}) / s{i} ELSE 0 END' for i in range(1, 5))}] AS x FROM p JOIN sd ON sd.label = p.label),
+nk AS (SELECT label, a, b FROM (SELECT a.label, a.i AS a, b.i AS b, row_number() OVER (PARTITION BY a.label, a.i ORDER BY {D2.format(a="a.x", b="b.x")}, b.i) AS rn FROM z a JOIN z b ON a.label = b.label AND a.i <> b.i) WHERE rn <= 10),
+ad AS (SELECT label, a, b FROM nk UNION SELECT label, b, a FROM nk), dg AS (SELECT label, a, count(*)::DOUBLE AS d FROM ad GROUP BY 1, 2), tt AS (SELECT label, sum(d) AS t FROM dg GROUP BY 1),
+mt AS (SELECT i.label, i.a, j.a AS b, (CASE WHEN i.a = j.a THEN 0.5 ELSE 0.0 END) + (CASE WHEN ad.a IS NULL THEN 0.0 ELSE 0.5 / sqrt(i.d * j.d) END) - sqrt(i.d * j.d) / t AS v
+       FROM dg i JOIN dg j ON i.label = j.label JOIN tt ON tt.label = i.label LEFT JOIN ad ON ad.label = i.label AND ad.a = i.a AND ad.b = j.a),
+pw(k, label, i, r) AS (SELECT 0, label, a, list(v ORDER BY b) FROM mt GROUP BY label, a UNION ALL
+  SELECT k + 1, label, i, list(v / top ORDER BY j) FROM (SELECT *, max(abs(v)) OVER (PARTITION BY label) AS top FROM (SELECT a.k, a.label, a.i, b.i AS j, list_dot_product(a.r, b.r) AS v FROM pw a JOIN pw b ON a.label = b.label)) WHERE k < 22 GROUP BY k, label, i),
+bg AS (SELECT label, arg_max(r, r[i]) AS r FROM pw WHERE k = 22 GROUP BY 1),
+un AS (SELECT z.row_id, z.label, r[z.i] / sqrt(list_dot_product(r, r)) AS f FROM z JOIN bg ON bg.label = z.label),
+sg AS (SELECT label, CASE WHEN arg_max(f, (round(abs(f), 9), -row_id)) < 0 THEN -1 ELSE 1 END AS s FROM un GROUP BY 1)"""
 
-    from tessera.operators.skeleton import lens
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        f = lens(np.array(pdf["x"].tolist(), dtype=float), "fiedler")
-        return pd.DataFrame({"row_id": pdf["row_id"], "label": pdf["label"], "f": np.round(f, 6)})
-
-    return points(spark, sf, 4).groupBy("label").applyInPandas(run, "row_id long, label int, f double")
+@query(f"WITH RECURSIVE {_FIEDLER} SELECT row_id, un.label, round(f * s, 6) + 0.0 AS f FROM un JOIN sg ON sg.label = un.label")
+def fiedler_lens(spark, sf):
+    """Second eigenvector of the neighbour graph of each class, all classes in the same rounds."""
+    return rounded(Z.fiedler(points(spark, sf, 4), "label").select("row_id", "label", "f"), "f")
 
 
 @query()
