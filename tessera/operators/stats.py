@@ -105,6 +105,30 @@ def conover(scores: DataFrame, control: str) -> DataFrame:
     return holm(d.withColumn("p_raw", student_tail(F.col("t"), F.col("df"))), "p_raw", ["treatment"])
 
 
+def conover_matrix(scores: DataFrame) -> DataFrame:
+    """(a, b, t, df, p_raw) of all pairs of treatments, themselves included (p 1).  The values are not adjusted: the family that is tested
+    is the control's, not the matrix."""
+    r = ranks(scores)
+    sums = r.groupBy("treatment").agg(F.sum("r").alias("R"))
+    whole = r.agg(F.sum(F.col("r") * F.col("r")).alias("A"), F.count_distinct("block").alias("n"), F.count_distinct("treatment").alias("k"))
+    names = sums.agg(F.sum(F.col("R") * F.col("R")).alias("S"), F.collect_list(F.struct("treatment", "R")).alias("_all"))  # a roster
+    d = names.crossJoin(whole).withColumn("_a", F.explode("_all")).withColumn("_b", F.explode("_all"))
+    df = (F.col("n") - 1) * (F.col("k") - 1)
+    t = F.abs(F.col("_a.R") - F.col("_b.R")) / F.sqrt(2 * (F.col("n") * F.col("A") - F.col("S")) / df)
+    d = d.select(F.col("_a.treatment").alias("a"), F.col("_b.treatment").alias("b"), t.alias("t"), df.alias("df"))
+    return d.withColumn("p_raw", student_tail(F.col("t"), F.col("df")))
+
+
+def cost_ratios(timing: DataFrame, roster: list[str], method: str, others: list[str]) -> DataFrame:
+    """A row a data set of (dataset, method, cpu_seconds): each method's cost, and ``ratio_<other>``, the method's over the other's; null
+    where either is absent or the other cost nothing."""
+    wide = timing.groupBy("dataset").pivot("method", roster).agg(F.avg("cpu_seconds"))
+    if absent := [m for m in (method, *others) if m not in roster]:
+        raise ValueError(f"not in the roster: {absent}")
+    over = lambda o: F.when(F.col(f"`{o}`") != 0, F.col(f"`{method}`") / F.col(f"`{o}`"))
+    return wide.withColumns({f"ratio_{o}": over(o) for o in others})
+
+
 def holm(df: DataFrame, p: str, tie: list[str], out: str = "p_holm") -> DataFrame:
     """Step-down adjustment: running maximum of (m - i) p, at most 1.  The family is one small table."""
     w = Window.orderBy(p, *tie)

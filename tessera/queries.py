@@ -714,6 +714,25 @@ def conover(spark, sf):
     return rounded(T.conover(s, control), "t", "p_raw", "p_holm")
 
 
+_PAIRS = _CONOVER.replace(_CONOVER[_CONOVER.index(", tt AS (") : _CONOVER.index("th AS (")], """, tt AS (SELECT x.treatment::VARCHAR || '>' || y.treatment::VARCHAR AS treatment, abs(x.rs - y.rs) / sqrt(2 * (n * g.A - S) / ((n - 1) * (k - 1))) AS t, ((n - 1) * (k - 1))::BIGINT AS df FROM rsum x, rsum y, g),
+""")
+
+
+@query(f"WITH RECURSIVE {_PAIRS} SELECT split_part(treatment, '>', 1) AS a, split_part(treatment, '>', 2) AS b, round(t, 6) AS t, df, round(p, 6) + 0.0 AS p_raw FROM cp")
+def conover_matrix(spark, sf):
+    """Unadjusted values of all pairs."""
+    d = rounded(T.conover_matrix(scores(spark, sf)), "t", "p_raw")
+    return d.withColumns({"a": F.col("a").cast("string"), "b": F.col("b").cast("string")})
+
+
+@query("""SELECT p_type AS dataset, round(avg(p_size) FILTER (WHERE p_brand = 'Brand#11'), 6) AS "Brand#11", round(avg(p_size) FILTER (WHERE p_brand = 'Brand#12'), 6) AS "Brand#12", round(avg(p_size) FILTER (WHERE p_brand = 'Brand#11') / avg(p_size) FILTER (WHERE p_brand = 'Brand#12'), 6) AS "ratio_Brand#12" FROM part WHERE p_brand IS NOT NULL GROUP BY 1""")
+def cost_ratios(spark, sf):
+    """Sizes by brand stand for times by method."""
+    timing = read(spark, sf, "part").select(F.col("p_type").alias("dataset"), F.col("p_brand").alias("method"), F.col("p_size").cast("double").alias("cpu_seconds"))
+    d = T.cost_ratios(timing, ["Brand#11", "Brand#12"], "Brand#11", ["Brand#12"])
+    return rounded(d, "Brand#11", "Brand#12", "ratio_Brand#12").select("dataset", "Brand#11", "Brand#12", "ratio_Brand#12")
+
+
 @query(f"WITH {_FRIEDMAN} SELECT treatment, round(abs(rs - (SELECT rs FROM rsum ORDER BY treatment LIMIT 1)) / sqrt(2 * (n * g.A - S) / ((n - 1) * (k - 1))), 6) AS t, ((n - 1) * (k - 1))::BIGINT AS df FROM rsum, g WHERE treatment <> (SELECT min(treatment) FROM rsum)")
 def conover_t(spark, sf):
     return conover(spark, sf).select("treatment", "t", "df")
