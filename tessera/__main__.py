@@ -38,6 +38,10 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "timing":
         rows = battery.timing_means(rows)
     write_results(rows, a.target, "parquet")
+    if a.command == "curve":  # read back, so that nothing is built again
+        done = spark.read.parquet(a.target)
+        means = K.curve_means(done).join(K.anchor_fractions(done), "dataset", "left")
+        means.write.mode("overwrite").option("header", True).csv(f"{a.target}-mean")
 
 
 if __name__ == "__main__":
