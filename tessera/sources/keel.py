@@ -110,9 +110,31 @@ def read_partitions(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(raw_label, label, features, fold, n_folds, is_test) of a folder of published partitions; ten
     folds are preferred to five, labels are coded over all files, and a fold's two parts must
     cover as many rows in every fold."""
+    return _partition_rows(spark.read.text(f"{folder}/*.dat").withColumn("_file", F.col("_metadata.file_path")), folder, name)
+
+
+def read_partition_archives(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same of archives ``<name>-10-fold.zip`` or ``<name>-5-fold.zip`` in a folder.  The one of ten folds is taken unless it is
+    absent, empty or no zip archive (what a server sends for a partition that it does not have)."""
+    for k in (10, 5):
+        kept = _archive_lines(spark, f"{folder}/{name}-{k}-fold.zip")
+        if kept is not None:
+            return _partition_rows(kept.select("value", F.col("member").alias("_file")), folder, name)
+    raise FileNotFoundError(f"no ten or five folds of {name} in {folder}")
+
+
+def _archive_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """Lines of an archive's .dat members; nothing where there is no such archive."""
+    folder, file = path.rsplit("/", 1)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", file).load(folder)
+    whole = found.where((F.col("length") > 0) & (F.hex(F.substring("content", 1, 4)) == "504B0304"))
+    return None if whole.isEmpty() else read_zip_lines(spark, path)
+
+
+def _partition_rows(text: DataFrame, folder: str, name: str) -> DataFrame:
+    """Rows of partition files' lines (value, _file), after their checks."""
     from tessera.operators.prepare import encode_labels
 
-    text = spark.read.text(f"{folder}/*.dat").withColumn("_file", F.col("_metadata.file_path"))
     text = text.withColumns({"_name": F.regexp_extract("_file", PARTITION, 1), "n_folds": F.regexp_extract("_file", PARTITION, 2).cast("int"), "fold": F.regexp_extract("_file", PARTITION, 3).cast("int"), "is_test": F.regexp_extract("_file", PARTITION, 4) == "st"})
     text = text.where(F.col("_name") == name)
     found = {r.n_folds for r in text.select("n_folds").distinct().collect()}
