@@ -87,8 +87,8 @@ def remove_vertex(vertex: DataFrame, edges: DataFrame, vid: int) -> tuple[DataFr
     return v.withColumn("vid", down("vid")), kept.select(down("i").alias("i"), down("j").alias("j"))
 
 
-def hops(vertex: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, hop) for all pairs; unreachable pairs have hop = number of vertices.
+def hops(vertex: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst, hop) for all pairs; unreachable pairs, and those over ``most`` hops apart, have hop = number of vertices.
 
     Breadth-first from every vertex at once; a round extends only the frontier.
     """
@@ -96,7 +96,7 @@ def hops(vertex: DataFrame, edges: DataFrame) -> DataFrame:
     nb = cut_lineage(both_ways(edges))
     seen = cut_lineage(vertex.select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0).cast("long").alias("hop")))
     front, k = seen, 0
-    while k < n:
+    while k < (n if most is None else min(n, most)):
         k += 1
         step = front.join(nb, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
         front = cut_lineage(step.withColumn("hop", F.lit(k).cast("long")))
