@@ -20,8 +20,8 @@ from tessera.plans.session import cut_lineage
 
 Centres = dict[tuple[int, int], np.ndarray]  # by class and restart
 CELLS = 20_000_000
-#: Numbers that all tasks of a pass may leave for the driver to add up; more are added up by a shuffle.
-GATHER = 2_000_000
+#: Numbers that all tasks of a pass may leave for the driver to add up; more are added up by a shuffle.  Passes are some hundreds.
+GATHER = 100_000
 #: Oversampling rounds, and candidates a round as a multiple of the centres wanted.
 SEED_ROUNDS, OVERSAMPLE = 5, 2.0
 
@@ -69,24 +69,41 @@ def one_pass(rows: DataFrame, centres: Centres) -> dict[tuple[int, int], tuple[n
 
     parts = rows.mapInArrow(run, "label long, start long, k long, n long, cost double, s array<double>")
     got = {key: [np.zeros(len(v), np.int64), np.zeros_like(v), 0.0] for key, v in centres.items()}
-    if rows.rdd.getNumPartitions() * sum(v.size for v in centres.values()) <= GATHER:
-        t = parts.toArrow()
+    if rows.rdd.getNumPartitions() * sum(v.size for v in centres.values()) > GATHER:
+        parts = added(parts, width)
+    t = parts.toArrow()
+    if len(t):
         sums = t.column("s").combine_chunks().flatten().to_numpy().reshape(-1, width)
         for label, start, k, n, cost, s in zip(*(t.column(c).to_pylist() for c in ("label", "start", "k", "n", "cost")), sums, strict=True):
             g = got[label, start]
             g[0][k] += n
             g[1][k] += s
             g[2] += cost
-        return {k: tuple(v) for k, v in got.items()}
-    parts = parts.select("label", "start", "k", "n", "cost", F.posexplode("s").alias("at", "s"))
-    total = parts.groupBy("label", "start", "k", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("s").alias("s"))
-    for r in total.collect():  # a row a number of the centre table
-        g = got[r.label, r.start]
-        g[0][r.k], g[1][r.k, r["at"]] = r.n, r.s
-        g[2] += r.cost if r["at"] == 0 else 0.0
     return {k: tuple(v) for k, v in got.items()}
 
 
+def added(parts: DataFrame, width: int) -> DataFrame:
+    """The tasks' sums of each centre added up in the order of the tasks, so that the driver gets one row a centre."""
+    import pyarrow as pa
+
+    names = ["label", "start", "k", "n", "cost"]
+
+    def run(batches: Iterator) -> Iterator:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        c = {k: t.column(k).to_numpy() for k in [*names, "part"]}
+        s = t.column("s").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        order = np.lexsort((c["part"], c["k"], c["start"], c["label"]))
+        key = np.stack([c[k][order] for k in names[:3]])
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(axis=0)]))
+        cols = [*(pa.array(v) for v in key[:, first]), *(pa.array(np.add.reduceat(c[k][order], first)) for k in names[3:])]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.add.reduceat(s[order], first).tolist(), pa.list_(pa.float64()))], [*names, "s"])
+
+    return parts.withColumn("part", F.spark_partition_id()).repartition("label", "start", "k").mapInArrow(run, "label long, start long, k long, n long, cost double, s array<double>")
+
+
 def lloyd_round(rows: DataFrame, centres: Centres) -> tuple[Centres, dict[tuple[int, int], float]]:
     """The centres after one round, those without rows unmoved, and the inertia before it."""
     got = one_pass(rows, centres)

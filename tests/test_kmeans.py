@@ -53,3 +53,24 @@ def test_bound(monkeypatch):
     monkeypatch.setattr(M, "CELLS", 5)
     with pytest.raises(ValueError):
         M.bounded({(0, 0): np.zeros((3, 2))})
+
+
+def test_sums_of_many_tasks_are_added_before_the_driver(spark, monkeypatch):
+    """Tasks' sums of up to two million numbers a pass, over hundreds of passes, went to the driver."""
+    import numpy as np
+
+    from tessera.operators import kmeans as KM
+
+    x = np.random.default_rng(1).standard_normal((400, 5))
+    d = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "row_id long, label long, x array<double>").repartition(7, "row_id")
+    centres = {(c, s): x[[c + s, c + s + 6, c + s + 10]] for c in (0, 1) for s in (0, 1)}
+    assert KM.GATHER * 8 * 300 < 300e6
+    want = KM.one_pass(d, centres)
+    seen, added = [], KM.added
+    monkeypatch.setattr(KM, "added", lambda p, w: seen.append(added(p, w)) or seen[-1])
+    monkeypatch.setattr(KM, "GATHER", 0)
+    got = KM.one_pass(d, centres)
+    assert seen[0].count() == 12  # one row a centre
+    assert got.keys() == want.keys()
+    for k, (n, s, cost) in got.items():
+        assert (n == want[k][0]).all() and np.allclose(s, want[k][1]) and abs(cost - want[k][2]) < 1e-9
