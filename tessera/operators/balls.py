@@ -24,6 +24,8 @@ BALL_ROWS = 4096
 PIVOTS = 2048
 #: Decimals to which squared distances are compared (as in ``neighbors``).
 DECIMALS = 9
+#: Distances held at a time where all are summed: a block that stays near the processor.
+SUM_CELLS = 500_000
 #: Rows of a small table that may be sent to every task.
 SMALL_ROWS = 200_000
 
@@ -290,7 +292,7 @@ def distance_sums(points: DataFrame, model: DataFrame, key: str = "proto_id", ce
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             v = sent.value
-            step = max(1, 4_000_000 // max(1, len(v)))
+            step = max(1, SUM_CELLS // max(1, len(v)))
             for b in batches:
                 if not b.num_rows:
                     continue

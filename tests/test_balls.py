@@ -120,3 +120,11 @@ def test_turned(spark):
     rows = [(i, p, i) if rng.random() < 0.5 else (p, i, i) for i, p in up.items()]
     got = spanning.turned(spark.createDataFrame(rows, "u long, v long, eid long"), 0)
     assert {r.eid: (r.u, r.v) for r in got.collect()} == {i: (p, i) for i, p in up.items()}
+
+
+def test_facility_gain_sums_all_distances_once(spark, sf, monkeypatch):
+    """The first row was found anew, over all pairs, by every step that read it."""
+    from tessera import queries as Q
+
+    d = Q.facility_gain(spark, sf)
+    assert "MapInArrow" not in d._jdf.queryExecution().optimizedPlan().toString()
