@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, shuffle_partitions, utf8
+from tessera.llm.common import Scratch, bounded_broadcast, shuffle_partitions, utf8
 from tessera.llm.simhash import components, gram_hashes, majority, trie_links
 
 SHINGLE = 5
@@ -236,8 +236,24 @@ def _rest_pairs(crowded: DataFrame, sketches: DataFrame, block: int) -> DataFram
     return rows.repartition(max(2, shuffle_partitions(rows.sparkSession)), "h", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (id, hashes) are alike."""
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a likeness of 4/5; ``sets``: id, size, sketch."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for t in batches:
+            bits = [np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for k in (2, 3)]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(t.columns[:2], ["a", "b"]).filter(pa.array(9 * differ <= t.column(4).to_numpy()))
+
+    left = sets.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("sizes")).mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets (id, size, sketch, hashes) are alike.  Sketches rule most pairs out, and only sets of
+    the others' texts are moved."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
@@ -245,9 +261,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [alike(wide(x), wide(y)) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(t.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = scratch.keep(possible(pairs, sets), "possible")
+    side = lambda k, name: sets.select(F.col("id").alias(k), F.col("hashes").alias(name)).join(bounded_broadcast(scratch.keep(pairs.select(k).distinct(), "asked")), k, "left_semi")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -260,6 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDO
     own = first.join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
     rows = own.select(F.col("doc_id").alias("id"), "n", "fp", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "n", F.col("pos").cast("long").alias("pos"), "fp")
     meeting = scratch.keep(_by_hash(rows, lambda c: _meeting(c, window), _MEETING), "meeting")
+    names = scratch.keep(first.select("doc_id", "key", "fp"), "names")
+    scratch.drop(first)  # the prefixes are in the meetings now
+    own = names.join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
     crowds = scratch.keep(meeting.groupBy("id").agg(F.sum("crowd").alias("crowds")), "crowds")
 
     # Texts of one fingerprint or of near ones: candidates, as are the links of the trie.
@@ -272,13 +291,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDO
     def hashes(batches: Iterator) -> Iterator:
         for b in batches:
             thinned = [thin(shingles(t, shingle)) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(thinned, pa.binary()), pa.array([odd_sketch(wide(x)) for x in thinned], pa.binary())], ["id", "hashes", "sketch"])
+            sizes = pa.array([len(x) // 5 for x in thinned], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([odd_sketch(wide(x)) for x in thinned], pa.binary()), pa.array(thinned, pa.binary())], ["id", "size", "sketch", "hashes"])
 
     wanted = meeting.select("id").unionByName(close.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = scratch.keep(some.mapInArrow(hashes, "id long, hashes binary, sketch binary"), "hashes")
+    sets = scratch.keep(some.mapInArrow(hashes, "id long, size long, sketch binary, hashes binary"), "hashes")
 
-    links = scratch.keep(confirmed(close, sets), "links")
+    links = scratch.keep(confirmed(close, sets, scratch), "links")
     for last in (CHAIN, None, -1):
         groups = components(links, scratch)
         named = meeting.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -290,7 +310,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDO
             pairs = pairs.where("9 * (met + crowd + rest) >= 4 * sizes").select("a", "b")
         else:
             pairs = _by_hash(named.join(crowds, "id").where(F.col("pos") <= last), lambda c: _pairs(c, 1), _PAIRS).select("a", "b").distinct()
-        links = links.unionByName(scratch.keep(confirmed(pairs, sets), "links"))
+        links = links.unionByName(scratch.keep(confirmed(pairs, sets, scratch), "links"))
     groups = components(links, scratch)
     root = least.join(groups, least.least == groups.id, "left").select("key", F.coalesce("root", "least").alias("component_id"))
-    return first.join(root, "key").select("doc_id", "component_id")
+    out = scratch.keep(names.join(root, "key").select("doc_id", "component_id"), "components")
+    scratch.leave(out)
+    return out
