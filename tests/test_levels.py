@@ -28,3 +28,34 @@ def test_levels_of_few_rows(spark):
     one = levels.rsp3(points(spark, np.ones((5, 2)), [0, 0, 1, 1, 1]), subset_rows=2).collect()
     assert sorted((r.label, tuple(r.features)) for r in one) == [(0, (1.0, 1.0)), (1, (1.0, 1.0))]
     assert levels.rsp3(points(spark, np.ones((2, 2)), [0, 0]).where("false")).collect() == []
+
+
+@pytest.mark.parametrize("n,digits", [(60, None), (400, 1), (2600, 1)])
+def test_farthest_by_tiles(n, digits):
+    """Against all differences, whole and in two chunks; rounded rows tie and repeat, and the least ids win."""
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    x = x if digits is None else x.round(digits)
+    least = {}
+    for k, v in enumerate(map(tuple, x.tolist())):
+        least.setdefault(v, k)
+    at = np.array(sorted(least.values()))
+    d = np.triu(np.round(np.sqrt(((x[at, None] - x[None, at]) ** 2).sum(axis=2)), 12), 1)
+    i, j = np.unravel_index(d.argmax(), d.shape)
+    want = (pytest.approx(d.max(), abs=1e-11), at[i], at[j])
+    ids = np.arange(n)
+    assert R.farthest(x, ids) == want
+    a, b = ids[ids % 3 == 0], ids[ids % 3 > 0]
+    parts = [R.farthest(x[a], a), R.farthest(x[b], b), R.farthest(x[a], a, x[b], b)]
+    assert max((d, -i, -j) for d, i, j in parts) == (want[0], -want[1], -want[2])
+
+
+def test_farthest_is_by_products():
+    """20,000 wide rows in one task: all differences took minutes.  A row that is not finite is in no pair."""
+    import time
+
+    x = np.random.default_rng(0).normal(size=(20_000, 64))
+    x[7] = np.nan
+    x[11], x[19_000] = 9.0, -9.0
+    begun = time.process_time()
+    assert R.diameter(x)[:2] == (11, 19_000)
+    assert time.process_time() - begun < 60
