@@ -1,14 +1,16 @@
 """The Fiedler lens over tables: second eigenvector of each class's neighbour graph.
 
-All classes are worked on at once.  To keep them apart in one neighbour search, a coordinate that is constant in a class and
+All classes are worked on at once.  Neighbours are searched within a class.  To keep classes apart where parts of them are joined, a coordinate that is constant in a class and
 farther from any other class's than the classes are wide is added: distances within a class do not change, and no other class is
-nearer.  The eigenvector comes from Lanczos rounds: a product with the normalised adjacency matrix is a join of the edges with the vertices
-and a grouped sum, products with the vectors so far are one grouped aggregate, and what comes to the driver is
-a row of at most ``basis`` numbers a class and round.
+nearer.  The eigenvector comes from Lanczos rounds over blocks of vertices, a row a block with its edges and vectors packed: for a product with the
+normalised adjacency matrix a block gets from the others the values at the far ends of its edges.  Once rough values are known, a round takes a polynomial of the
+matrix, so that there are fewer of them.  What comes to the driver is a row of at most ``basis`` numbers a class and round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from tessera.operators.topology import both_ways, components
 from tessera.plans.session import cut_lineage
 
 BASIS, KEPT, TOLERANCE, ROUNDS = 48, 6, 1e-9, 2000
+#: Vectors before the filter, its degree, and vertices of a block.
+PLAIN, FILTER, BLOCK_ROWS = 24, 16, 16_384
 
 
 def standardized(points: DataFrame, key: str) -> DataFrame:
@@ -41,50 +45,53 @@ def set_apart(points: DataFrame, key: str) -> DataFrame:
 
 def neighbour_graph(points: DataFrame, key: str, neighbours: int) -> DataFrame:
     """(i, j): edges i < j of the symmetrised neighbour graph of each class; its components are joined by their closest pairs."""
-    apart = cut_lineage(set_apart(points, key))
-    own = cut_lineage(points.select("row_id", F.col(key).alias("_key")))
-    inside = lambda e: e.join(own.withColumnsRenamed({"row_id": "i", "_key": "_a"}), "i").join(own.withColumnsRenamed({"row_id": "j", "_key": "_b"}), "j").where("_a = _b").select("i", "j")
-    near = N.knn_graph(apart, neighbours).withColumnsRenamed({"a": "i", "b": "j"})
-    edges = cut_lineage(inside(near))
+    keyed = cut_lineage(points.select("row_id", "x", F.col(key).alias("_key")))
+    own = keyed.select("row_id", "_key")
+    near = N.k_nearest(keyed, keyed.select(F.col("row_id").alias("proto_id"), F.col("x").alias("v"), "_key"), neighbours, others=True, on="_key")
+    edges = cut_lineage(near.select(F.least("row_id", "proto_id").alias("i"), F.greatest("row_id", "proto_id").alias("j")).distinct())
     comp = cut_lineage(components(own.select(F.col("row_id").alias("vid")), edges).withColumnRenamed("vid", "row_id"))
     parts = comp.join(own, "row_id").groupBy("_key").agg(F.count_distinct("comp").alias("n")).where("n > 1")
     if parts.isEmpty():
         return edges
-    bridges = spanning_edges(apart, comp).select(F.col("lo").alias("i"), F.col("hi").alias("j"))
+    inside = lambda e: e.join(own.withColumnsRenamed({"row_id": "i", "_key": "_a"}), "i").join(own.withColumnsRenamed({"row_id": "j", "_key": "_b"}), "j").where("_a = _b").select("i", "j")
+    bridges = spanning_edges(cut_lineage(set_apart(points, key)), comp).select(F.col("lo").alias("i"), F.col("hi").alias("j"))
     return cut_lineage(edges.unionByName(inside(bridges)))
 
 
-def second_vectors(vertex: DataFrame, edges: DataFrame, key: str, basis: int = BASIS, tolerance: float = TOLERANCE, rounds: int = ROUNDS, seen: list | None = None) -> DataFrame:
+def second_vectors(vertex: DataFrame, edges: DataFrame, key: str, basis: int = BASIS, tolerance: float = TOLERANCE, rounds: int = ROUNDS, seen: list | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, vid, f): for each class the unit eigenvector of the second largest eigenvalue of its normalised adjacency matrix, up to sign.
 
     ``vertex`` (key, vid) of connected classes of three or more, ``edges`` (i, j) within them.  Lanczos with full orthogonalisation, done twice; after
-    ``basis`` vectors it starts again from the best few and the last (a thick restart).  A class is done when its residual
-    is below ``tolerance``, and then rests; ``seen`` gets (round, the largest residual).  More than ``rounds`` is an error.
+    ``basis`` vectors it starts again from the best few and the last (a thick restart).  What is not done after ``PLAIN`` vectors starts again, from
+    its best four, on the Chebyshev polynomial of degree ``FILTER`` of the matrix that stays within 1 below the class's third value and grows above: it has the same
+    vectors, and a round takes ``FILTER`` products.  A class is done when its residual, over the polynomial's slope, is below ``tolerance``, and then rests;
+    ``seen`` gets (round, the largest residual).  More than ``rounds`` is an error.
     """
     if basis < KEPT + 3:
         raise ValueError(f"a basis holds at least {KEPT + 3} vectors")
-    nb = both_ways(edges)
-    deg = nb.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("_deg")).withColumnRenamed("a", "vid")
-    v = vertex.select(F.col(key).alias("key"), "vid").join(deg, "vid")
+    parts = vertex.groupBy(F.col(key).alias("key")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("parts"))
+    before = F.coalesce(F.sum("parts").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    names = cut_lineage(parts.withColumn("code", before))  # a row a class; its blocks are numbered from code
     start = F.pmod(F.conv(F.substring(draw_order(F.col("vid"), 0), 1, 8), 16, 10).cast("long"), F.lit(2**31)) / F.lit(float(2**30)) - 1.0
-    v = cut_lineage(v.withColumn("w", start))
-    total = v.groupBy("key").agg(F.sum("_deg").alias("_total"))
-    state = v.join(total, "key").select("key", "vid", F.array(F.sqrt(F.col("_deg") / F.col("_total"))).alias("q"), "w")
-    inv = v.select(F.col("vid"), F.col("_deg"))
-    w = nb.join(inv.withColumnsRenamed({"vid": "a", "_deg": "_da"}), "a").join(inv.withColumnsRenamed({"vid": "b", "_deg": "_db"}), "b")
-    weights = cut_lineage(w.select("a", "b", (1 / F.sqrt(F.col("_da") * F.col("_db"))).alias("g")))
+    block = F.col("code") + F.pmod(F.xxhash64("vid"), F.col("parts"))
+    v = cut_lineage(vertex.select(F.col(key).alias("key"), "vid").join(names, "key").select("code", block.alias("block"), "vid", start.alias("start")))
+    graph = _graph(v, edges)
+    alone = graph.where(F.size("peers") > 0).isEmpty()
+    total = {r.code: r.n for r in graph.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    state = _by_block(graph.select("code", "block", F.col("scale").alias("q"), "w"), lambda code, q, w: (1 / (q * np.sqrt(total[code])), w), "q binary, w binary")
     small: dict = {}  # a row a class: the projected matrix, whether it is done and the weights of its vector
+    ends: dict = {}  # of the interval in which the polynomial stays small: its middle and half its width
     size = 1
     for turn in range(rounds):
         state, told = _orthogonal(state, size)
         worst = 0.0
-        for key_of, c, norm in told:
-            h = small.setdefault(key_of, {"h": np.zeros((basis + 2, basis + 2)), "done": None})
+        for code, c, norm in told:
+            h = small.setdefault(code, {"h": np.zeros((basis + 2, basis + 2)), "done": None})
             if h["done"] is None:
                 if size > 1:
-                    h["h"][:size, size - 1] = h["h"][size - 1, :size] = np.array(c)
+                    h["h"][:size, size - 1] = h["h"][size - 1, :size] = c
                     values, vectors = np.linalg.eigh(h["h"][1:size, 1:size])
-                    residual = abs(norm * vectors[-1, -1])
+                    residual = abs(norm * vectors[-1, -1]) / (FILTER**2 / ends[code][1] if ends else 1.0)
                     if residual < tolerance or norm < 1e-12:
                         h["done"] = [0.0, *vectors[:, -1].tolist()]
                     worst = max(worst, residual)
@@ -93,9 +100,23 @@ def second_vectors(vertex: DataFrame, edges: DataFrame, key: str, basis: int = B
         if all(h["done"] is not None for h in small.values()):
             break
         size += 1
+        if not ends and size > min(PLAIN, basis):
+            first = {}
+            for code, h in small.items():
+                values, vectors = np.linalg.eigh(h["h"][1 : size - 1, 1 : size - 1])
+                cut = max(-0.9, float(values[-min(3, len(values))]))
+                ends[code] = ((cut - 1) / 2, (cut + 1) / 2)
+                first[code] = vectors[:, -4:].sum(axis=1)
+                if h["done"] is not None:
+                    first[code] = np.pad(h["done"][1:], (0, size - 1 - len(h["done"])))
+                    h["done"] = [0.0, 1.0]
+                h["h"][:] = 0.0
+            state = _by_block(state, lambda code, q, w, first=first: (q[0], first[code] @ q[1 : 1 + len(first[code])]), "q binary, w binary")
+            size = 1
+            continue
         if size > basis:
-            keep = []
-            for k, h in small.items():
+            keep = {}
+            for code, h in small.items():
                 values, vectors = np.linalg.eigh(h["h"][1 : size - 1, 1 : size - 1])
                 best = vectors[:, ::-1][:, :KEPT]
                 if h["done"] is not None:  # its vector comes first and stays
@@ -103,49 +124,138 @@ def second_vectors(vertex: DataFrame, edges: DataFrame, key: str, basis: int = B
                     h["done"] = [0.0, 1.0]
                 h["h"][:] = 0.0
                 h["h"][range(1, KEPT + 1), range(1, KEPT + 1)] = values[::-1][:KEPT]
-                keep.append((k, best.T.tolist()))
-            mix = _table(state, keep, "_mix array<array<double>>")  # basis x KEPT numbers a class
-            mixed = F.transform("_mix", lambda m: F.aggregate(F.zip_with(F.slice("q", 2, size - 2), m, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-            state = state.join(mix, "key").select("key", "vid", F.concat(F.slice("q", 1, 1), mixed, F.slice("q", size, 1)).alias("q"))
+                keep[code] = best.T
+            state = _by_block(state, lambda code, q, w, keep=keep: (np.vstack([q[:1], keep[code] @ q[1:-1], q[-1:]]), w), "q binary, w binary")
             size = KEPT + 2
-        last = state.select(F.col("vid").alias("b"), F.get("q", F.lit(size - 1)).alias("v"))
-        product = weights.join(last, "b").groupBy("a").agg(F.sum(F.col("g") * F.col("v")).alias("w")).withColumnRenamed("a", "vid")
-        state = state.join(product, "vid")
+        product = _products(graph, state.select("block", F.col("w").alias("t")), ends, FILTER if ends else 1, alone)
+        state = state.select("code", "block", "q").join(product.select("block", F.col("t").alias("w")), "block").select("code", "block", "q", "w")
     else:
         raise ValueError(f"no eigenvector within {rounds} rounds; the residual is {worst}")
-    weight = _table(state, [(k, h["done"]) for k, h in small.items()], "_c array<double>")
-    f = F.aggregate(F.zip_with("q", "_c", lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
-    return state.join(weight, "key").select(F.col("key").alias(key), "vid", f.alias("f"))
+    weight = {code: np.array(h["done"]) for code, h in small.items()}
+    f = _by_block(state, lambda code, q, w: ((weight[code] @ q[: len(weight[code])]).tolist(), 0), "f array<double>, w int")
+    each = f.join(graph.select("block", "vids"), "block").select("code", F.explode(F.arrays_zip("vids", "f")).alias("r"))
+    return each.join(names, "code").select(F.col("key").alias(key), F.col("r.vids").alias("vid"), F.col("r.f").alias("f"))
+
+
+def _numbers(packed, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), kind)
 
 
-def _table(like: DataFrame, rows: list, rest: str) -> DataFrame:
-    """A small table of (key, ...) rows; from Arrow, so that it has a size and is joined by broadcast."""
+def _graph(v: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row a block of vertices (code, block, vid, start): its ids in order, their degrees' sum n and inverse roots ``scale``, the columns of their edges (``ptr`` and
+    ``col``; behind the block's own come those that each of ``peers`` sends, in order), which rows each peer is sent, and the starting vector w.  Edges go
+    both ways, so a block knows from its own edges what a peer needs of it."""
+    import pyarrow as pa
+
+    at = v.withColumnRenamed("vid", "a")
+    both = both_ways(edges).join(at, "a").join(v.select(F.col("vid").alias("b"), F.col("block").alias("other")), "b").select("code", "block", "a", "start", "b", "other")
+    names = ["code", "block", "n", "vids", "scale", "ptr", "col", "peers", "sent", "w"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
+
+    def pack(t):
+        a, b, other, start = (t.column(c).to_numpy() for c in ("a", "b", "other", "start"))
+        block = t.column("block")[0].as_py()
+        order = np.lexsort((b, a))
+        a, b, other, start = a[order], b[order], other[order], start[order]
+        vids, ptr, degree = np.unique(a, return_index=True, return_counts=True)
+        col, sent, width = np.empty(len(a), np.int32), [], len(vids)
+        own = other == block
+        col[own] = np.searchsorted(vids, b[own])
+        peers = np.unique(other[~own]).tolist()
+        for p in peers:
+            here = other == p
+            need = np.unique(b[here])
+            col[here] = width + np.searchsorted(need, b[here])
+            width += len(need)
+            sent.append(np.searchsorted(vids, np.unique(a[here])).astype(np.int32).tobytes())
+        row = (t.column("code")[0].as_py(), block, len(a), vids, (1 / np.sqrt(degree)).tobytes(), ptr.astype(np.int32).tobytes(), col.tobytes(), peers, sent, start[ptr].tobytes())
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+    schema = "code long, block long, n long, vids array<long>, scale binary, ptr binary, col binary, peers array<long>, sent array<binary>, w binary"
+    return cut_lineage(both.groupBy("block").applyInArrow(pack, schema))
+
+
+def _products(graph: DataFrame, vectors: DataFrame, ends: dict, steps: int, alone: bool) -> DataFrame:
+    """(block, t): the matrix times the vectors (block, t), or the Chebyshev polynomial of degree ``steps`` where ``ends`` are given.
+
+    Before a product each block sends its peers the values they need.  Classes of one block (``alone``) send nothing and take all steps at once.
+    """
+    import pyarrow as pa
+
+    graph = graph.select("code", "block", "scale", "ptr", "col", "peers", "sent")
+    names = ["block", "src", "t", "p"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(times: int, last: bool):
+        def step(left, right):
+            g = {c: left.column(c)[0] for c in left.column_names}
+            block, peers = g["block"].as_py(), g["peers"].as_py()
+            scale, ptr, col = _numbers(g["scale"]), _numbers(g["ptr"], np.int32), _numbers(g["col"], np.int32)
+            of = {s: i for i, s in enumerate(right.column("src").to_pylist())}
+            t, p = _numbers(right.column("t")[of[block]]), right.column("p")[of[block]]
+            p = _numbers(p) if p.is_valid else None
+            middle, half = ends.get(g["code"].as_py(), (0.0, 1.0))
+            for _ in range(times):
+                x = np.concatenate([scale * t, *(_numbers(right.column("t")[of[s]]) for s in peers)])
+                y = (scale * np.add.reduceat(x[col], ptr) - middle * t) / half
+                t, p = y if p is None else 2 * y - p, t
+            rows = [(block, block, t.tobytes(), None if p is None else p.tobytes())]
+            if not last:
+                x = scale * t
+                rows += [(s, block, x[_numbers(at, np.int32)].tobytes(), None) for s, at in zip(peers, g["sent"], strict=True)]
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
+
+        return step
+
+    sent = vectors.select("block", F.col("block").alias("src"), "t", F.lit(None).cast("binary").alias("p"))
+    for times, last in [(steps, True)] if alone else [(0, False), *[(1, k == steps - 1) for k in range(steps)]]:
+        sent = graph.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run(times, last), "block long, src long, t binary, p binary")
+    return sent.select("block", "t")
+
+
+def _by_block(state: DataFrame, work: Callable, kind: str) -> DataFrame:
+    """(code, block, columns of ``kind``): what ``work(code, q, w)`` gives for each block; q has a row a vector, arrays are packed."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType([f for f in like.schema if f.name == "key"] + list(StructType.fromDDL(rest)))
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    schema = StructType.fromDDL(f"code long, block long, {kind}")
     arrow = to_arrow_schema(schema)
-    return like.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+    packed = lambda x: x.tobytes() if isinstance(x, np.ndarray) else x
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            rows = []
+            for code, block, q, w in zip(*(b.column(c) for c in ("code", "block", "q", "w")), strict=True):
+                w = _numbers(w)
+                rows.append((code.as_py(), block.as_py(), *map(packed, work(code.as_py(), _numbers(q).reshape(-1, len(w)), w))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
+
+    return state.select("code", "block", "q", "w").mapInArrow(run, schema)
 
 
 def _orthogonal(state: DataFrame, size: int) -> tuple[DataFrame, list]:
-    """State (key, vid, q, w) with w, made orthogonal to the ``size`` vectors in q and of length 1 (0 if nothing is left), appended to q; and
-    a row (key, c, norm) a class: w's products with the vectors, and what was left.  The first is a plan over the table of the state."""
-    state = cut_lineage(state)
-    sums = [F.array(*[F.sum(F.get("q", F.lit(i)) * F.col("w")) for i in range(size)]).alias("c"), F.sum(F.col("w") * F.col("w")).alias("ww")]
-    along = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    first = state.groupBy("key").agg(*sums).collect()  # a row a class
-    less = state.join(_table(state, [(r.key, r.c) for r in first], "c array<double>"), "key").withColumn("w", F.col("w") - along).drop("c")
-    again = {r.key: r for r in less.groupBy("key").agg(*sums).collect()}
-    told = []
-    for r in first:
-        left = again[r.key].ww - sum(c * c for c in again[r.key].c)
-        told.append((r.key, r.c, float(np.sqrt(left)) if left > 1e-24 else 0.0))
-    rows = _table(state, [(k, again[k].c, n) for k, _, n in told], "c array<double>, norm double")
-    unit = F.when(F.col("norm") > 1e-12, (F.col("w") - along) / F.col("norm")).otherwise(F.lit(0.0))
-    return less.join(rows, "key").select("key", "vid", F.concat("q", F.array(unit)).alias("q")), told
+    """State (code, block, q, w) with w, made orthogonal to the ``size`` vectors in q and of length 1 (0 if nothing is left), appended to q; and
+    a row (code, c, norm) a class: w's products with the vectors, and what was left.  The first is a plan over the table of the state."""
+    sums = [F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(size)]).alias("c"), F.sum("ww").alias("ww")]
+    state = cut_lineage(_by_block(state, lambda code, q, w: (q, w, (q @ w).tolist(), float(w @ w)), "q binary, w binary, c array<double>, ww double"))
+    first = {r.code: np.array(r.c) for r in state.groupBy("code").agg(*sums).collect()}  # a row a class
+
+    def less(code, q, w):
+        w = w - first[code] @ q
+        return (q @ w).tolist(), float(w @ w)
+
+    again = {r.code: (np.array(r.c), r.ww) for r in _by_block(state, less, "c array<double>, ww double").groupBy("code").agg(*sums).collect()}
+    left = {code: ww - float(c @ c) for code, (c, ww) in again.items()}
+    norm = {code: float(np.sqrt(n)) if n > 1e-24 else 0.0 for code, n in left.items()}
+
+    def unit(code, q, w):
+        w = w - first[code] @ q - again[code][0] @ q
+        w = w / norm[code] if norm[code] > 1e-12 else np.zeros(len(w))
+        return np.vstack([q, w]), w
+
+    return _by_block(state, unit, "q binary, w binary"), [(code, first[code], norm[code]) for code in first]
 
 
 def fiedler(points: DataFrame, key: str, neighbours: int = 10, standardize: bool = True, basis: int = BASIS, seen: list | None = None) -> DataFrame:
