@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +88,74 @@ def remove_vertex(vertex: DataFrame, edges: DataFrame, vid: int) -> tuple[DataFr
     return v.withColumn("vid", down("vid")), kept.select(down("i").alias("i"), down("j").alias("j"))
 
 
-def hops(vertex: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(src, dst, hop) for all pairs; unreachable pairs, and those over ``most`` hops apart, have hop = number of vertices.
+#: Vertices and edge ends of a graph that may go to every task, distances held while a block of sources is walked, and pairs of a task.
+GRAPH_CELLS, WALK_CELLS, TASK_PAIRS = 20_000_000, 2_000_000, 20_000_000
 
-    Breadth-first from every vertex at once; a round extends only the frontier.
+
+def walk(start: np.ndarray, first: np.ndarray, to: np.ndarray, most: int | None = None) -> np.ndarray:
+    """(starts, vertices) hops from each start along ``to[first[v] : first[v + 1]]``, -1 where there is no way.  A round extends only
+    the frontiers, so a block costs its starts times the edges, however long the ways are."""
+    n = len(first) - 1
+    hop = np.full(len(start) * n, -1, dtype=np.int32)
+    at, base = np.asarray(start, dtype=np.int64), np.arange(len(start), dtype=np.int64) * n
+    hop[base + at], k = 0, 0
+    while len(at) and (most is None or k < most):
+        k += 1
+        lo = first[at]
+        deg = first[at + 1] - lo
+        end = np.cumsum(deg)
+        nxt = to[np.repeat(lo - end + deg, deg) + np.arange(end[-1])]
+        base = np.repeat(base, deg)
+        fresh = np.flatnonzero(hop[base + nxt] == -1)
+        nxt, base = nxt[fresh], base[fresh]
+        mine = -2 - np.arange(len(nxt), dtype=np.int32)  # of several ways to a vertex one stays
+        hop[base + nxt] = mine
+        once = hop[base + nxt] == mine
+        at, base = nxt[once], base[once]
+        hop[base + at] = k
+    return hop.reshape(len(start), n)
+
+
+def hops(vertex: DataFrame, edges: DataFrame, most: int | None = None, cells: int = GRAPH_CELLS) -> DataFrame:
+    """(src, dst, hop) for all pairs; unreachable pairs, and those over ``most`` hops apart where it is given, have hop = number of vertices.
+
+    A graph within ``cells``, counted first, goes to every task; tasks walk it from blocks of sources and hand out the pairs as they
+    are found, so that no pair is shuffled or written.  A larger one is walked by tables, from every vertex at once.
     """
-    n = vertex.count()
+    n, named = vertex.agg(F.count(F.lit(1)), F.count("vid")).first()
+    edges = cut_lineage(edges.select("i", "j"))  # counted and read; they may cost a search
+    if n > named or n + 2 * edges.count() > cells:
+        return _hops_by_tables(vertex, edges, n, most)
+    import pyarrow as pa
+
+    spark = vertex.sparkSession
+    v = vertex.select("vid").toArrow().column(0).to_numpy()
+    e = edges.select("i", "j").where("i IS NOT NULL AND j IS NOT NULL").toArrow()
+    i, j = e.column(0).to_numpy(), e.column(1).to_numpy()
+    names, where = np.unique(np.concatenate([v, i, j]), return_inverse=True)
+    pos, i, j = where[:n], where[n : n + len(i)], where[n + len(i) :]
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))])
+    sent = spark.sparkContext.broadcast((names, first, b[np.argsort(a, kind="stable")], pos, v))
+
+    def run(batches):
+        names, first, to, pos, dst = sent.value
+        step = max(1, WALK_CELLS // max(1, len(names)))
+        for batch in batches:
+            src = batch.column(0).to_numpy()
+            for lo in range(0, len(src), step):
+                own = src[lo : lo + step]
+                hop = walk(np.searchsorted(names, own), first, to, most)[:, pos].astype(np.int64)
+                hop[hop < 0] = len(dst)
+                cols = np.repeat(own, len(dst)), np.tile(dst, len(own)), hop.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["src", "dst", "hop"])
+
+    parts = max(spark.sparkContext.defaultParallelism, min(n, -(-n * n // TASK_PAIRS)))
+    kind = dict(vertex.dtypes)["vid"]
+    return vertex.select("vid").repartition(parts, "vid").mapInArrow(run, f"src {kind}, dst {kind}, hop long")
+
+
+def _hops_by_tables(vertex: DataFrame, edges: DataFrame, n: int, most: int | None) -> DataFrame:
     nb = cut_lineage(both_ways(edges))
     seen = cut_lineage(vertex.select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0).cast("long").alias("hop")))
     front, k = seen, 0
@@ -105,4 +168,3 @@ def hops(vertex: DataFrame, edges: DataFrame, most: int | None = None) -> DataFr
         seen = cut_lineage(seen.unionByName(front))
     every = vertex.select(F.col("vid").alias("src")).crossJoin(vertex.select(F.col("vid").alias("dst")))
     return every.join(seen, ["src", "dst"], "left").na.fill(n, ["hop"])
-
