@@ -25,7 +25,9 @@ PIVOTS = 2048
 #: Decimals to which squared distances are compared (as in ``neighbors``).
 DECIMALS = 9
 #: Distances held at a time where all are summed: a block that stays near the processor.
-SUM_CELLS = 500_000
+SUM_CELLS = 100_000
+#: Rows of such a block, and rows whose sums are found at once in the search for the least.
+ROWS_AT_ONCE, ASKED = 128, 512
 #: Rows of a small table that may be sent to every task.
 SMALL_ROWS = 200_000
 
@@ -267,6 +269,33 @@ def farthest_pair(points: DataFrame, ball_rows: int = BALL_ROWS, pivots: int = P
     return -best[1], -best[2], best[0]
 
 
+class Measured:
+    """Distances of blocks of rows to all rows of a matrix by products; pairs so near that a product would blur them are measured by
+    differences, and all are where a row is not finite."""
+
+    def __init__(self, v: np.ndarray):
+        self.v = v
+        self.centre = v.mean(axis=0) if len(v) else np.zeros(v.shape[1])
+        away = v - self.centre
+        square = (away * away).sum(axis=1)
+        self.most = float(square.max(initial=0.0))
+        self.right = np.concatenate([-2 * away.T, np.ones((1, len(v))), square[None, :]])
+
+    def to(self, x: np.ndarray, part: slice = slice(None)) -> np.ndarray:
+        away = x - self.centre
+        square = (away * away).sum(axis=1)
+        most = max(self.most, float(square.max(initial=0.0)))
+        v = self.v[part]
+        if not np.isfinite(most):
+            return np.sqrt(squared(x, v))
+        d = np.column_stack([away, square, np.ones(len(x))]) @ self.right[:, part]
+        near = np.flatnonzero(d.ravel() <= 1e-9 * most)
+        if len(near):
+            i, j = np.divmod(near, len(v))
+            d.ravel()[near] = ((x[i] - v[j]) ** 2).sum(axis=1)
+        return np.sqrt(d, out=d)
+
+
 # --- sums over all points ---------------------------------------------------------------------
 
 
@@ -292,12 +321,18 @@ def distance_sums(points: DataFrame, model: DataFrame, key: str = "proto_id", ce
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             v = sent.value
-            step = max(1, SUM_CELLS // max(1, len(v)))
+            if not len(v):
+                return
+            step, cols = ROWS_AT_ONCE, SUM_CELLS // ROWS_AT_ONCE
+            model = Measured(v)
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = vectors(b.column(1))
-                s = np.concatenate([np.sqrt(squared(x[i : i + step], v)).sum(axis=1) for i in range(0, len(x), step)])
+                s = np.zeros(len(x))
+                for i in range(0, len(x), step):
+                    for k in range(0, len(v), cols):
+                        s[i : i + step] += model.to(x[i : i + step], slice(k, k + cols)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["row_id", "s"])
 
         p = points.select("row_id", "x")
@@ -325,3 +360,141 @@ def gains(candidates: DataFrame, points: DataFrame, ball_rows: int = BALL_ROWS,
 
     met = meet(to, balls.rows.select("ball", "chunk", "x", "cur_min"), ["ball", "chunk"], "proto_id", run, "proto_id long, g double", ball_rows)
     return met.groupBy("proto_id").agg(F.sum("g").alias("g"))
+
+
+def sums_at(points: DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of distances of all points to each of a few rows, and its gradient there (a point that coincides adds nothing)."""
+    import pyarrow as pa
+
+    sent = points.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator) -> Iterator:
+        q = sent.value
+        s, g = np.zeros(len(q)), np.zeros(q.shape)
+        for b in batches:
+            x = vectors(b.column(0)) if b.num_rows else np.empty((0, q.shape[1]))
+            for i in range(0, len(x), 256):
+                some = x[i : i + 256]
+                d = Measured(q).to(some)
+                s += d.sum(axis=0)
+                with np.errstate(divide="ignore"):
+                    w = np.where(d > 0, 1 / d, 0.0)
+                g += w.sum(axis=0)[:, None] * q - w.T @ some
+        yield pa.RecordBatch.from_arrays([pa.array([s.tolist()]), pa.array([g.ravel().tolist()])], ["s", "g"])
+
+    rows = points.select("x").mapInArrow(run, "s array<double>, g array<double>").collect()  # a row a task
+    return np.sum([r.s for r in rows], axis=0), np.sum([r.g for r in rows], axis=0).reshape(q.shape)
+
+
+def least_sum(points: DataFrame, rounds: int = 40, asked: int = ASKED, seen: list | None = None) -> tuple | None:
+    """(row_id, mean distance to all points) of the row of the least mean (to 9 decimals), the least id on ties; None without rows.
+
+    The mean is convex, so its value and gradient at some rows bound it from below at all others: a round finds the rows
+    of the least bounds exactly, until no bound is within the least mean.  Rows that are left after ``rounds`` are summed in full.
+    ``seen`` gets how many rows were summed.
+    """
+    import pyarrow as pa
+
+    spark = points.sparkSession
+    p = cut_lineage(points.select("row_id", "x"))
+    schema = f"row_id {dict(p.dtypes)['row_id']}, x array<double>, low double"
+    cores = spark.sparkContext.defaultParallelism
+    if p.rdd.getNumPartitions() < cores:
+        p = cut_lineage(p.repartition(cores))
+    n, largest = p.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v))))).first()
+    if not n:
+        return None
+    done: dict = {}
+    best, left = (math.inf, None), p
+    margin = 2 * 10.0**-DECIMALS + 1e-12 * (largest or 0.0)
+    asked_rows = p.orderBy(F.xxhash64("row_id"), "row_id").limit(asked).collect()
+    planes = np.empty((0, len(asked_rows[0].x) + 1))
+    for _ in range(rounds if largest is not None and math.isfinite(largest) else 0):
+        q = np.array([r.x for r in asked_rows], dtype=float)
+        s, g = sums_at(p, q)
+        s, g = s / n, g / n
+        best = min(best, *((round(float(m), DECIMALS), r.row_id) for m, r in zip(s, asked_rows, strict=True)))
+        done.update((r.row_id, None) for r in asked_rows)
+        planes = np.concatenate([planes, np.column_stack([g, s - (g * q).sum(axis=1)])])
+        sent = spark.sparkContext.broadcast((planes, best[0] + margin, np.array(sorted(done))))
+
+        def bounded(batches: Iterator, sent=sent) -> Iterator:
+            planes, most, done = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, ids = vectors(b.column(1)), b.column(0).to_numpy()
+                low = np.concatenate([(x[i : i + 128] @ planes[:, :-1].T + planes[:, -1]).max(axis=1) for i in range(0, len(x), 128)])
+                at = np.flatnonzero((low <= most) & ~np.isin(ids, done))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(low[at])], ["row_id", "x", "low"])
+
+        # A row's bound never falls, so what is left is looked at alone from here on.
+        left = cut_lineage(left.select("row_id", "x").mapInArrow(bounded, schema))
+        asked_rows = left.orderBy("low", "row_id").limit(asked).collect()
+        if not asked_rows:
+            if seen is not None:
+                seen.append(len(done))
+            return best[1], best[0]
+    m = p.select(F.col("row_id").alias("proto_id"), F.col("x").alias("v"))
+    r = distance_sums(left, m).select(F.round(F.col("s") / n, DECIMALS).alias("c"), "row_id").agg(F.min(F.struct("c", "row_id")).alias("m")).first().m
+    if seen is not None:
+        seen.append(n)
+    best = min(best, (r.c, r.row_id)) if done else (r.c, r.row_id)
+    return best[1], best[0]
+
+
+def gains_of_all(candidates: DataFrame, points: DataFrame, group: int = 1024) -> DataFrame:
+    """``gains`` where all points (row_id, x, cur_min) may go to every task: they lie there in groups by nearness, blocks of candidates too, and a
+    block is measured against the groups that hold a point it may be nearer to.  Nothing is shuffled but the candidates."""
+    import pyarrow as pa
+
+    spark = points.sparkSession
+    t = points.select("x", "cur_min").toArrow()
+    x, cur = vectors(t.column(0).combine_chunks()), t.column(1).to_numpy()
+    order, ends = halved(x, group)
+    x, cur = x[order], cur[order]
+    sent = spark.sparkContext.broadcast((x, cur, ends))
+    cores = spark.sparkContext.defaultParallelism
+    c = candidates.select("proto_id", "v")
+    c = c.repartition(4 * cores, "proto_id")
+
+    def run(batches: Iterator) -> Iterator:
+        x, cur, ends = sent.value
+        model = Measured(x)
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        centre = np.stack([x[a:b].mean(axis=0) for a, b in spans])
+        radius = np.array([np.sqrt(((x[a:b] - m) ** 2).sum(axis=1)).max() for (a, b), m in zip(spans, centre, strict=True)])
+        most = np.array([cur[a:b].max() for a, b in spans])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = vectors(b.column(1))
+            g = np.zeros(len(v))
+            rows, at = halved(v, ROWS_AT_ONCE)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                some = v[rows[lo:hi]]
+                e = slack(some, centre)
+                visit = ~(lengths(some, centre) - radius - e >= most).all(axis=0)
+                total = np.zeros(len(some))
+                for k in np.flatnonzero(visit).tolist():
+                    part = slice(*spans[k])
+                    d = model.to(some, part)
+                    np.subtract(cur[part], d, out=d)
+                    total += np.maximum(d, 0.0, out=d).sum(axis=1)
+                g[rows[lo:hi]] = total
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g)], ["proto_id", "g"])
+
+    return c.mapInArrow(run, c.select("proto_id").schema.add("g", "double"))
+
+
+def halved(x: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which groups of at most ``rows`` lie together, found by halving at the widest component, and the groups' ends."""
+    parts, out = [np.arange(len(x))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= rows:
+            out.append(own)
+            continue
+        at = np.argpartition(x[own, int(np.ptp(x[own], axis=0).argmax())], len(own) // 2)
+        parts += [own[at[len(own) // 2 :]], own[at[: len(own) // 2]]]
+    return np.concatenate(out), np.cumsum([0, *map(len, out)])
